@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm import mixing, packing, quality
+from wirespark.llm import minhash, mixing, packing, quality
 from wirespark.llm.common import documents
 
 
@@ -24,5 +24,10 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op6_rule_cascade, op8_min_slack_packing)}
+def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(documents(spark, sf_dir), n=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op6_rule_cascade, op8_min_slack_packing, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {}
