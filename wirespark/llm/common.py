@@ -55,15 +55,15 @@ def lookup(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The planner's size of df, for choosing numbers of partitions."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, column: str) -> int:
+    """The planner's size of df (that of its files), for choosing numbers of partitions; where it has none, the summed length of a column."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions that hold about bytes_each of the planner's size, at least the session's shuffle parallelism."""
-    least = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 20)
-    return max(least, -(-input_bytes(df) // bytes_each))
+def partitions_for(df: DataFrame, column: str, bytes_each: int) -> int:
+    """Partitions that hold about bytes_each, at least the session's shuffle parallelism."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df, column) // bytes_each))
 
 
 def row_hash(*cols: str | Column) -> Column:
