@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm import line_dedup, minhash, mixing, packing, quality, warc, wavelet
+from wirespark.llm import fingerprints, lattice, line_dedup, minhash, mixing, packing, quality, warc, wavelet
 from wirespark.llm.common import documents
 
 
@@ -21,12 +21,20 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.stored(documents(spark, sf_dir)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(documents(spark, sf_dir))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(documents(spark, sf_dir).select("doc_id", "text"), measures=quality.BASE, verdict="passed")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.select("doc_id", *quality.BASE, base.alias("base_failed"), (~base & F.col("passed")).alias("kept"))
 
 
+def op7_edit_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir))
+
+
 def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -41,5 +49,5 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op6_rule_cascade, op8_min_slack_packing, op9_warc_derivatives, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op4_lattice_score, op6_rule_cascade, op7_edit_walks, op8_min_slack_packing, op9_warc_derivatives, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {"op2_site_lines": line_dedup.SQL, "op9_warc_derivatives": warc.SQL}
