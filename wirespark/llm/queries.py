@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirespark.llm import fingerprints, lattice, line_dedup, minhash, mixing, packing, quality, warc, wavelet
+from wirespark.llm import fingerprints, lattice, line_dedup, minhash, mixing, packing, quality, repeats, warc, wavelet
 from wirespark.llm.common import documents
 
 
@@ -25,6 +25,12 @@ def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(documents(spark, sf_dir))
 
 
+def op5_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(documents(spark, sf_dir).select("doc_id", "text"), measures=quality.BASE, verdict="passed")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -49,5 +55,5 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op4_lattice_score, op6_rule_cascade, op7_edit_walks, op8_min_slack_packing, op9_warc_derivatives, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op4_lattice_score, op5_run_length_repeats, op6_rule_cascade, op7_edit_walks, op8_min_slack_packing, op9_warc_derivatives, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {"op2_site_lines": line_dedup.SQL, "op9_warc_derivatives": warc.SQL}
