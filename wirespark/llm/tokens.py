@@ -1,8 +1,9 @@
-"""Token ids of whole texts with a public word-level BPE tokenizer, with a word cache.
+"""Token ids of whole texts with a public word-level BPE tokenizer, with a cache of word parts.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are those of its words one after
-the other. Each distinct word of a batch is looked up once; words that the bounded cache lacks go to the library: plain
-ASCII words are split by the tokenizer's own pattern and their parts given to its model, all others are encoded whole.
+the other. Each distinct word of a batch is taken once. Words of printable ASCII and Latin letters, which the tokenizer's
+normaliser only lowers, are split by its own pattern, and each distinct part is given to its model once (a bounded cache
+holds the results); all other words, and those that may hold special tokens, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from wirespark.llm.common import coded, split_words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Fixed value: the tokenizer's split pattern on lower-case printable ASCII.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-CACHE_WORDS = 400_000
+#: Latin letters that are composed, and of which lower case is one character.
+LATIN = "À-ÖØ-öø-įı-ɏ"
+SIMPLE = f"^[!-~{LATIN}]+$"
+#: Fixed value: the tokenizer's split pattern, on lower-case characters of SIMPLE; a line feed ends a word.
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+|\n")
+CACHE_PARTS = 600_000
+#: Stands for the end of a word among 16-bit ids.
+MARK = 0xFFFF
 
 
 def default_path() -> str:
@@ -28,17 +35,20 @@ def default_path() -> str:
 
 
 class WordEncoder:
-    """Ids as unsigned 16-bit integers (the vocabulary has under 2^16)."""
+    """Ids as unsigned 16-bit integers (the vocabulary has under 2^16 - 1)."""
 
     _open: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("a vocabulary of at most 65,536 ids is needed")
-        self.special = [t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() >= MARK:
+            raise ValueError("a vocabulary of fewer than 65,535 ids is needed")
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = "|".join(re.escape(t.content[:2]) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.mark = np.array([MARK], "<u2").tobytes()
+        self.parts = {"\n": self.mark}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -48,40 +58,46 @@ class WordEncoder:
         return cls._open[path]
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            got = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u2").tobytes()
-        return got
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of each distinct word."""
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        cache, rest = self.words, []
-        out: list[bytes | None] = [cache.get(w) for w in words]
+        if not part.isascii():
+            part = self.bytes.pre_tokenize_str(part)[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u2").tobytes()
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of distinct words, where each word's ids start among them, their number)."""
+        simple = np.asarray(pc.match_substring_regex(words, SIMPLE))
+        if self.special:
+            simple = simple & ~np.asarray(pc.match_substring_regex(words, self.special))
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"\n": self.mark}
+        found = PARTS.findall("\n".join([*pc.utf8_lower(words.filter(pa.array(simple))).to_pylist(), ""]))
+        cache, out = self.parts, list(map(self.parts.get, found))
         for i, got in enumerate(out):
             if got is None:
-                w = words[i]
-                if w.isascii() and w.isprintable() and not any(s in w for s in self.special):
-                    out[i] = cache[w] = b"".join(map(self._part, PARTS.findall(w.lower())))
-                else:
-                    rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = cache[words[i]] = np.array(e.ids, "<u2").tobytes()
-        return out
+                part = found[i]
+                got = cache.get(part)
+                if got is None:
+                    got = cache[part] = self._part(part)
+                out[i] = got
+        rest = self.tokenizer.encode_batch_fast(words.filter(pa.array(~simple)).to_pylist(), add_special_tokens=False)
+        out.extend(x for e in rest for x in (np.array(e.ids, "<u2").tobytes(), self.mark))
+        bank = np.frombuffer(b"".join(out), "<u2")
+        ends = np.flatnonzero(bank == MARK)
+        sizes = np.empty(len(words), np.int64)
+        order = np.concatenate([np.flatnonzero(simple), np.flatnonzero(~simple)])
+        sizes[order] = np.diff(ends, prepend=-1) - 1
+        firsts = np.empty(len(words), np.int64)
+        firsts[order] = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]) if len(words) else 0
+        return bank[bank != MARK], firsts, sizes
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with end_id after each text, and where each text starts (one longer)."""
         words, at = split_words(texts)
         codes, distinct = coded(words)
-        parts = self.of_words(distinct.to_pylist())
-        sizes = np.fromiter((len(p) // 2 for p in parts), np.int64, len(parts))
-        bank = np.frombuffer(b"".join(parts), "<u2")
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        lists = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(bank))
-        flat = np.asarray(lists.take(pa.array(codes)).flatten()) if len(codes) else np.zeros(0, "<u2")
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[at]
+        bank, firsts, sizes = self.of_words(distinct)
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        # the id at place p of the output lies as far behind its word's first id in the bank
+        flat = bank[np.repeat(firsts[codes] - ends[:-1], n) + np.arange(ends[-1])] if len(codes) else np.zeros(0, "<u2")
+        ends = ends[at]
         ids = np.insert(flat, ends[1:], end_id)
         return ids.astype("<u2", copy=False), ends + np.arange(len(ends))
