@@ -1,11 +1,11 @@
-"""The corpus pipeline: each stage works on what its predecessor kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage on what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirespark.llm import mixing, packing, quality
-from wirespark.llm.common import documents, row_hash, written
+from wirespark.llm import line_dedup, minhash, mixing, packing, quality
+from wirespark.llm.common import documents, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,21 +13,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(docs)
 
 
+def site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their sources; n_chars follows the text."""
+    done = line_dedup.drop_boilerplate(docs, "source")
+    return done.selectExpr(*[f"CAST(char_length(text) AS BIGINT) AS {c}" if c == "n_chars" else c for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8."""
+    return minhash.deduplicated(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: no row, one or two."""
+    """Each document as often as the mix takes it: in no row, in one or in two."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences."""
+    """The pieces of all documents with their token ids, in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources", mix_sources), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", site_lines), ("near-dedup", near_dedup), ("mixing sources", mix_sources), ("packing", pack)]
+#: SQL has neither the tokenizer nor the components.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each but the last is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

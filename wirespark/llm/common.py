@@ -85,10 +85,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """Strings with 64-bit offsets, null as empty."""
+    """Strings with 64-bit offsets, null as empty, in an array of their own: some string kernels misread slices."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    offsets, raw = _raw(pc.fill_null(column.cast(pa.large_string()), ""))
+    return _strings(offsets, raw)
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """texts with A-Z in lower case, and nothing else."""
+    offsets, raw = _raw(texts)
+    return _strings(offsets, raw.lower())
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, bytes]:
+    _, offsets, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(1, np.int64), b""
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    return at - at[0], bytes(memoryview(data)[at[0] : at[-1]]) if data is not None else b""
+
+
+def _strings(offsets: np.ndarray, raw: bytes) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw))
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -55,61 +55,85 @@ def shares(sources: DataFrame, weights: tuple[float, ...], share: float, most: f
     return one.withColumn("target", F.least(cap, F.col("weight") * F.lit(level))), n_all["n"]
 
 
+def _keyed(docs: DataFrame, *columns: Column, weight_col: str | None, seed: int) -> DataFrame:
+    """The columns, and what a row's place in the mix depends on."""
+    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(*columns, F.col("doc_id").alias("_doc_id"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_src"), size.alias("_size"), row_hash("doc_id", "text", F.lit(seed)).alias("_h"), weight.alias("_w"))
+
+
+def _ordered(rows: DataFrame, most: float) -> DataFrame:
+    """rows (keyed, with their source's target) with _k certain copies and _key, the rank among those for the rest (null: there is none)."""
+    rate = F.when(F.col("_ws") > 0, F.col("target") / F.col("_ws") * F.col("_w")).otherwise(0.0)
+    rows = rows.withColumn("_rate", F.least(F.round(rate, 12), F.lit(float(int(most))))).withColumn("_k", F.floor("_rate"))
+    u = (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) * F.lit(2.0**-53)
+    p = F.col("_rate") - F.col("_k")
+    q = (u / (1 - u)) * ((1 - p) / p)
+    return rows.withColumn("_key", F.when(p > 0, F.least(F.floor(q / (1 + q) * F.lit(2.0**BITS)), F.lit((1 << BITS) - 1))).cast("long"))
+
+
+def _place() -> Column:
+    return F.struct(F.col("_key"), F.coalesce("_doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("_h"))
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    """Ordered rows with _end, the last place that is taken, given their copies."""
+    return rows.withColumn("copies", F.col("_k") + F.coalesce((_place() <= F.col("_end")).cast("long"), F.lit(0)))
+
+
+def _plan(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, int]:
+    """(one row a source with target and _end, written; the ordered slim rows, written; number of sources)."""
+    sources = slim.groupBy(*KEYS).agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_w")).alias("_ws"))
+    targets, n = shares(sources, weights, share, most)
+    rows = written(_ordered(slim.join(lookup(targets, n), list(KEYS)), most), "mix-rows")
+    plan = targets.select(*KEYS, "source_size", "_ws", "target").join(_ends(rows), list(KEYS), "left")
+    return written(plan, "mix-plan"), rows, n
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, weight_col: str | None = None, seed: int = 20) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row of docs (doc_id, text, source).
+    """doc_id, source, size, source_size, target, taken, copies of every row of docs (doc_id, text, source).
 
     weight_col: relative expected copies of a document within its source (null or negative: 0), else all alike. No
     document is taken more than `most` times (whole copies, so floor(most)).
     """
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    slim = docs.select(
-        "doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_src"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_hash("doc_id", "text", F.lit(seed)).alias("_h"), weight.alias("_w"),
-    )
-    slim = written(slim, "mix-sizes")
-    sources = slim.groupBy(*KEYS).agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("_w")).alias("_ws"))
-    targets, n = shares(sources, weights, share, most)
-    whole = int(most)
-    rate = F.when(F.col("_ws") > 0, F.col("target") / F.col("_ws") * F.col("_w")).otherwise(0.0)
-    rate = F.least(F.round(rate, 12), F.lit(float(whole)))
-    u = (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) * F.lit(2.0**-53)
-    p = F.col("_rate") - F.floor("_rate")
-    q = (u / (1 - u)) * ((1 - p) / p)
-    rows = (
-        slim.join(lookup(targets, n), list(KEYS))
-        .withColumn("_rate", rate)
-        .withColumn("_k", F.floor("_rate"))
-        .withColumn("_key", F.when(p > 0, F.least(F.floor(q / (1 + q) * F.lit(2.0**BITS)), F.lit((1 << BITS) - 1))).cast("long"))
-    )
-    rows = written(rows.select("doc_id", *KEYS, "size", "source_size", "target", "_k", "_key", "_h"), "mix-rows")
-    ends = _ends(rows)
-    ends = written(ends, "mix-ends")
-    mine = F.struct(F.col("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("_h"))
-    out = rows.join(lookup(ends, n), list(KEYS), "left").withColumn("copies", F.col("_k") + F.coalesce((mine <= F.col("_end")).cast("long"), F.lit(0)))
+    slim = written(_keyed(docs, weight_col=weight_col, seed=seed), "mix-sizes")
+    plan, rows, n = _plan(slim, weights, share, most)
     discard(slim)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.when(~F.col("_none"), F.col("_src")).alias("source"))
+    out = _taken(rows.join(lookup(plan.select(*KEYS, "_end"), n), list(KEYS)))
+    return out.select(F.col("_doc_id").alias("doc_id"), F.when(~F.col("_none"), F.col("_src")).alias("source"), F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, weight_col: str | None = None, seed: int = 20) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows of no words, which weigh nothing, stay as they are."""
+    slim = written(_keyed(docs, weight_col=weight_col, seed=seed), "mix-sizes")
+    plan, rows, n = _plan(slim, weights, share, most)
+    for t in (slim, rows):
+        discard(t)
+    whole = _keyed(docs, F.struct(*docs.columns).alias("_doc"), weight_col=weight_col, seed=seed)
+    taken = _taken(_ordered(whole.join(lookup(plan, n), list(KEYS)), most))
+    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("copies")).cast("int")
+    return taken.select("_doc", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select("_doc.*")
 
 
 def _ends(rows: DataFrame) -> DataFrame:
     """(keys, _end): the last place in a source's order that is taken."""
-    lack = rows.groupBy(*KEYS).agg((F.first("target") - F.sum(F.col("size") * F.col("_k"))).alias("_lack"), F.count("*").alias("_n"))
+    lack = rows.groupBy(*KEYS).agg((F.first("target") - F.sum(F.col("_size") * F.col("_k"))).alias("_lack"), F.count("*").alias("_n"))
     cells = written(lack.where("_lack > 1e-6").withColumns({"_cell": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")}), "mix-cells")
     n = cells.count()
-    open_rows = rows.where("_key is not null and size > 0").drop("source_size", "target", "_k")
+    open_rows = rows.where("_key is not null and _size > 0").select(*KEYS, "_doc_id", "_size", "_key", "_h")
     within = Window.partitionBy(*KEYS).orderBy("_cell")
     for level in range(1, LEVELS + 1):
         at = F.shiftright("_key", BITS - DIGIT * level)
         inside = open_rows.join(lookup(cells.select(*KEYS, "_lack", "_before", F.col("_cell").alias("_up")), n), list(KEYS)).where(F.shiftright(at, DIGIT) == F.col("_up"))
-        sums = inside.groupBy(*KEYS, at.alias("_cell")).agg(F.sum("size").alias("_s"), F.first("_lack").alias("_lack"), F.first("_before").alias("_start"))
+        sums = inside.groupBy(*KEYS, at.alias("_cell")).agg(F.sum("_size").alias("_s"), F.first("_lack").alias("_lack"), F.first("_before").alias("_start"))
         run = sums.withColumn("_to", F.col("_start") + F.sum("_s").over(within)).withColumn("_left", F.max("_cell").over(Window.partitionBy(*KEYS)))
         hit = run.withColumn("_before", F.col("_to") - F.col("_s")).where((F.col("_before") < F.col("_lack")) & ((F.col("_to") >= F.col("_lack")) | (F.col("_cell") == F.col("_left"))))
         cells = written(hit.select(*KEYS, "_lack", "_cell", "_before"), "mix-cells")
     at = F.shiftright("_key", BITS - DIGIT * LEVELS)
     last = open_rows.join(lookup(cells, n), list(KEYS)).where(at == F.col("_cell"))
-    place = F.struct(F.col("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("_h"))
-    last = last.withColumn("_place", place)
-    run = last.withColumn("_to", F.col("_before") + F.sum("size").over(Window.partitionBy(*KEYS).orderBy("_place")))
-    near = run.where(F.col("_to") - F.col("_lack") < F.col("_lack") - (F.col("_to") - F.col("size")))
+    last = last.withColumn("_place", _place())
+    run = last.withColumn("_to", F.col("_before") + F.sum("_size").over(Window.partitionBy(*KEYS).orderBy("_place")))
+    near = run.where(F.col("_to") - F.col("_lack") < F.col("_lack") - (F.col("_to") - F.col("_size")))
     taken = near.groupBy(*KEYS).agg(F.max("_place").alias("_end"))
     start = F.struct(F.shiftleft("_cell", BITS - DIGIT * LEVELS).alias("_key"), F.lit(-(1 << 63)).alias("_id"), F.lit(-(1 << 63)).alias("_h"))
     return cells.join(taken, list(KEYS), "left").select(*KEYS, F.coalesce("_end", start).alias("_end"))

@@ -75,8 +75,13 @@ class Texts:
         return self._once("n_symbols", make)
 
     @property
-    def n_lines(self) -> np.ndarray:
-        return self._once("n_lines", lambda: np.array([len(x) for x in self._lines()], np.int64))
+    def dup_line_share(self) -> np.ndarray:
+        """Characters of lines with a word that are in lines equal to an earlier one."""
+
+        def share(lines: list[str]) -> float:
+            return 1 - sum(map(len, set(lines))) / sum(map(len, lines)) if lines else 0.0
+
+        return self._once("dup_line_share", lambda: np.array([share(x) for x in self._lines()], float))
 
     @property
     def n_dup_lines(self) -> np.ndarray:
@@ -140,7 +145,7 @@ def symbols(t: Texts) -> np.ndarray:
 
 
 def repeated_lines(t: Texts) -> np.ndarray:
-    return 10 * t.n_dup_lines > 3 * t.n_lines
+    return t.dup_line_share > 0.4
 
 
 def shouting(t: Texts) -> np.ndarray:
