@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     marked = written(docs.select("doc_id", "text").mapInArrow(mark, "doc_id long, n_chars long, fingerprint string, bands array<long>"), "marked")
     nodes = marked.where("n_chars > 0").select(F.col("fingerprint").alias("node"), F.col("n_chars").alias("size"), "bands").dropDuplicates(["node"])
-    lists = nodes.select(F.explode("bands").alias("value"), "node", "size")
+    lists = nodes.select(F.explode("bands").alias("value"), "node", "size", F.lit(0.0).alias("score"))
     shared = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     lists = written(lists.join(shared, "value"), "bands")
     labels = list_components(lists, lambda pairs: pairs.select("a", "b").mapInArrow(verify, "a string, b string"), int(50 * least))

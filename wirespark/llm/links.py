@@ -29,23 +29,31 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def list_components(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, label) of linked nodes, from written inverted lists (value, node, size); confirm: keeps the true links of pairs (a, b).
+def list_components(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, label) of linked nodes, from written inverted lists (value, node, size, score); confirm: keeps the true links of pairs (a, b).
 
-    Every node of a list meets the list's first node; then nodes outside a list's largest component meet the list's nodes
-    of other components. Pairs whose sizes alone rule them out, the lesser below percent of the greater, are not asked.
+    Every node of a list meets the list's most central node, that of the highest score; then nodes outside a list's
+    largest component meet the list's nodes of other components. Pairs whose sizes alone rule them out, the lesser below
+    percent of the greater, are not asked. narrow: from the nodes (node, label, size) of lists with several components to
+    lists (value, node, label, size) that hold every true link among them, but fewer pairs.
     """
     near = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent)
-    firsts = lists.groupBy("value").agg(F.min(F.struct("node", "size")).alias("f")).select("value", F.col("f.node").alias("a"), F.col("f.size").alias("n_a"))
-    star = lists.select("value", F.col("node").alias("b"), F.col("size").alias("n_b")).join(firsts, "value").where((F.col("a") != F.col("b")) & near)
-    links = written(confirm(star.select("a", "b").distinct()), "star-links")
+    firsts = lists.groupBy("value").agg(F.max(F.struct("score", "node", "size")).alias("f")).select("value", F.col("f.node").alias("x"), F.col("f.size").alias("n_a"))
+    star = lists.select("value", F.col("node").alias("y"), F.col("size").alias("n_b")).join(firsts, "value").where((F.col("x") != F.col("y")) & near)
+    links = written(confirm(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "star-links")
     labels = components(links)
-    joined = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-lists")
-    counts = joined.groupBy("value", "label").agg(F.count("*").alias("n"))
+    joined = written(lists.join(labels, "node", "left").select("value", "node", "size", F.coalesce("label", "node").alias("label")), "labelled-lists")
+    several = joined.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
+    open_lists = joined.join(several, "value")
+    if narrow is not None:
+        nodes = written(open_lists.select("node", "label", "size").distinct(), "open-nodes")
+        open_lists = narrow(nodes)
+    open_lists = written(open_lists, "open-lists")
+    counts = open_lists.groupBy("value", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("value", F.col("m.label").alias("main"))
-    open_lists = written(joined.join(main, "value"), "open-lists")
-    one = open_lists.where("label <> main").select("value", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("size").alias("n_a"))
-    two = open_lists.select("value", F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("size").alias("n_b"), "main")
+    ours = open_lists.join(main, "value")
+    one = ours.where("label <> main").select("value", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("size").alias("n_a"))
+    two = ours.select("value", F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("size").alias("n_b"), "main")
     across = one.join(two, "value").where((F.col("l_x") != F.col("l_y")) & near & ((F.col("l_y") == F.col("main")) | (F.col("x") < F.col("y"))))
     more = written(confirm(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "cross-links")
     if more.limit(1).count():

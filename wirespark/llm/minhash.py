@@ -6,8 +6,9 @@ sketch in common with a partner (for the similarities meant here a binomial tail
 only its rarest values beyond that part are listed, and values that no other node has count as rarest. Pairs from the
 lists are filtered by the union-sketch estimate and confirmed by the exact Jaccard similarity of the full sets.
 
-Lists are not paired out. First every node of a list meets the list's first node; the links found merge nodes into
-components; then only pairs across components are left, from the smaller components' side. No partner is capped: what is
+Lists are not paired out. First every node of a list meets its most central node; the links found merge nodes into
+components. For the nodes of lists with several components the rarest shingles of the full sets make narrower lists, whose
+pairs across components are asked, from the smaller components' side. No partner is capped: what is
 skipped is already connected. Hot lists are joined by key, which adaptive execution splits; equal texts were merged.
 
 Shingles: n words, lower-cased in ASCII only; a text with fewer words is one shingle; a text without words (null, empty,
@@ -22,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import coded, discard, lookup, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
-from wirespark.llm.links import components
+from wirespark.llm.common import coded, discard, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
+from wirespark.llm.links import list_components
 
 CHUNK_BYTES = 8 << 20
 SKETCH, LEAST = 32, 0.375
@@ -37,7 +37,7 @@ SLACK = 6.0
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
-    words, at = split_words(pc.ascii_lower(texts))
+    words, at = split_words(lowered(texts))
     codes, distinct = coded(words)
     w = word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
     step = np.uint64(0x9E3779B97F4A7C15)
@@ -107,6 +107,18 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
     return full.where(_close(inter, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _rarest(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lists (value, node, label, size) of the nodes' rarest shingles that are not one component's: a partner shares percent of a node's whole set, so it shares one of the rarest others plus one."""
+    posts = own.join(sets, "node").select("node", "label", "size", F.explode("set").alias("value"))
+    times = posts.groupBy("value").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("df > 1")
+    shared = written(posts.join(times, "value"), "shared-shingles")
+    spare = F.col("size") - F.floor((F.col("size") * percent + 99) / 100)
+    alive = shared.groupBy("node").agg(F.count("*").alias("c"), F.first("size").alias("n")).where(F.col("n") - F.col("c") <= F.col("n") - F.floor((F.col("n") * percent + 99) / 100)).select("node", "c")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
+    listed = shared.join(alive, "node").withColumn("r", rank + F.col("size") - F.col("c")).where(F.col("r") <= spare + 1)
+    return listed.where("lo <> hi").select("value", "node", "label", "size")
+
+
 def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k: int = SKETCH) -> DataFrame:
     """(node, label) for the nodes that have links; found: written sketches of docs."""
     whole = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row", "n_shingles", "sketch")).alias("r"))
@@ -122,28 +134,12 @@ def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k:
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     # of m values, m - c are unshared and rarest; the first m - kept + 1 are listed
     lists = shared.join(alive, "node").withColumn("r", rank + F.col("m") - F.col("c")).where(F.col("r") <= F.col("m") - F.col("kept") + 1)
-    lists = written(lists.select("value", "node", "n_shingles"), "lists")
+    lists = written(lists.select("value", "node", F.col("n_shingles").alias("size"), (F.col("c") / F.col("m")).alias("score")), "lists")
     names = lists.select("node").distinct()
     nodes = written(full.join(names, "node", "left_semi"), "nodes")
     sets = written(_full_sets(docs, lookup(nodes.select("node", "row"), nodes.count()), n), "full-sets")
-    near = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent)
-    firsts = lists.groupBy("value").agg(F.min(F.struct("node", "n_shingles")).alias("f")).select("value", F.col("f.node").alias("a"), F.col("f.n_shingles").alias("n_a"))
-    star = lists.select("value", F.col("node").alias("b"), F.col("n_shingles").alias("n_b")).join(firsts, "value").where((F.col("a") != F.col("b")) & near)
-    links = written(_confirmed(star.select("a", "b").distinct(), nodes, sets, percent, k), "star-links")
-    labels = components(links)
-    joined = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    joined = written(joined, "labelled-lists")
-    sizes = joined.groupBy("value", "label").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("value").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("value", F.col("m.label").alias("main"))
-    open_lists = joined.join(main, "value")
-    one = open_lists.where("label <> main").select("value", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("n_shingles").alias("n_a"))
-    two = open_lists.select("value", F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("n_shingles").alias("n_b"), "main")
-    across = one.join(two, "value").where((F.col("l_x") != F.col("l_y")) & near & ((F.col("l_y") == F.col("main")) | (F.col("x") < F.col("y"))))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(_confirmed(across, nodes, sets, percent, k), "cross-links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-    for t in (full, shared, lists, sets, nodes, joined):
+    labels = list_components(lists, lambda pairs: _confirmed(pairs, nodes, sets, percent, k), percent, lambda own: _rarest(own, sets, percent))
+    for t in (full, shared, lists, sets, nodes):
         discard(t)
     return labels
 
