@@ -3,8 +3,9 @@
 1. Routing. Every window of LENGTH bytes has a key, the least hash of the GRAM-byte strings in it: equal windows have equal keys.
    Keys that occur in one document only are ruled out (each chunk sends its distinct keys with its least and greatest
    document, so a hot key costs a row a chunk).
-2. Windows in a row with one key make a strip. Strips whose keys are left go to shards by key, once for each chunk and
-   distinct string, with the least document that has it.
+2. Windows in a row with one key make a strip. Strips whose keys are left are known by a digest: each chunk tells its
+   digests with their least documents, and the part with the least of all owns a digest and alone sends its bytes to
+   the shard of its key.
 3. Index. A shard sorts the suffixes of its distinct strings, keeps their Burrows-Wheeler transform as runs, and samples
    suffixes at run ends. Match lengths are computed at the samples alone and streamed along the text (a suffix that is
    no run's first matches one byte less than the suffix one to the left), and all windows of an interval
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from wirespark.llm.common import free_shuffles, mix64, partitions_for, shared_dir, slices, texts_of, written
 
 LENGTH, GRAM = 50, 16
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
 NULL_ID = -(1 << 63)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -236,19 +237,19 @@ def _send(part: int, buckets: int, key: np.ndarray, blob, names: tuple[str, ...]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], list(names))
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[np.ndarray]]]]:
-    """(parts, unpacked blobs) of one bucket after the other; rows are sorted by bucket."""
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
+    """(bucket, parts, unpacked blobs) of one bucket after the other; rows are sorted by bucket."""
     bucket, parts, blobs = None, [], []
     for batch in batches:
         for b, part, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "blob")), strict=True):
             if b != bucket and blobs:
-                yield parts, blobs
+                yield bucket, parts, blobs
                 parts, blobs = [], []
             bucket = b
             parts.append(part)
             blobs.append(unpacked(blob))
     if blobs:
-        yield parts, blobs
+        yield bucket, parts, blobs
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -290,7 +291,7 @@ def _keys(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
             yield from _send(part, buckets, keys, lambda at, keys=keys, docs=docs: packed(keys[at], docs[at]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, blobs in _by_bucket(batches):
+        for _, parts, blobs in _by_bucket(batches):
             key, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
             of = np.repeat(np.array(parts), [len(b[0]) for b in blobs])
             order = np.argsort(key)
@@ -312,8 +313,8 @@ def _wanted(path: str, part: int) -> np.ndarray:
     return np.unique(np.concatenate([b[0] for b in _of_part(path, part)] or [np.zeros(0, np.uint64)]))
 
 
-def _strips(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(part, blob): for the strips of a part, by digest, from which place on which document is the first."""
+def _owners(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> DataFrame:
+    """(part, blob): for parts the digests they own; for bucket b, as part -1 - b, (digest, part that has it, least document)."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[int, np.ndarray] = {}
@@ -321,48 +322,78 @@ def _strips(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> Da
             if part not in wanted:
                 wanted = {part: _wanted(keys_at, part)}
             w.take(np.isin(w.key, wanted[part]))
-            if not len(w.key):
-                continue
             doc = w.doc_ids[w.doc]
             order = np.lexsort((doc, w.digest))
-            order = order[np.concatenate([[True], w.digest[order][1:] != w.digest[order][:-1]])]
-            raw = w.raw.tobytes()
-            first, size = w.first[order], w.last[order] + LENGTH - w.first[order]
+            one = order[_firsts(w.digest[order])]
+            digest, doc = w.digest[one], doc[one]
+            yield from _send(part, buckets, w.key[one], lambda at, digest=digest, doc=doc: packed(digest[at], doc[at]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, parts, blobs in _by_bucket(batches):
+            digest, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            of = np.repeat(np.array(parts), [len(b[0]) for b in blobs])
+            order = np.lexsort((of, doc, digest))
+            digest, doc, of = digest[order], doc[order], of[order]
+            first = _firsts(digest)
+            least = doc[first][np.cumsum(first) - 1]
+            rows = [(int(p), packed(digest[first & (of == p)])) for p in np.unique(of[first])]
+            yield _rows([*rows, (-1 - bucket, packed(digest, of, least))])
+
+    sent = docs.mapInArrow(tell, "bucket long, part long, blob binary")
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, blob binary")
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values differ from the one before."""
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
 
-            def blob(at, w=w, order=order, doc=doc, first=first, size=size, raw=raw):
+
+def _strips(docs: DataFrame, owners_at: str, buckets: int, chunk_bytes: int) -> DataFrame:
+    """(part, blob): for the strips of a part, by digest, from which place on which document is the first."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: dict[int, np.ndarray] = {}
+        for part, w, _ in _chunks(batches, chunk_bytes):
+            if part not in wanted:
+                wanted = {part: _wanted(owners_at, part)}
+            w.take(np.isin(w.digest, wanted[part]))
+            _, one = np.unique(w.digest, return_index=True)
+            digest, first, size, raw = w.digest[one], w.first[one], w.last[one] + LENGTH - w.first[one], w.raw.tobytes()
+
+            def blob(at, digest=digest, first=first, size=size, raw=raw):
                 text = b"".join(raw[a : a + n] for a, n in zip(first[at].tolist(), size[at].tolist(), strict=True))
-                return packed(w.digest[order][at], doc[order][at], size[at].astype(np.int32), np.frombuffer(text, np.uint8))
+                return packed(digest[at], size[at].astype(np.int32), np.frombuffer(text, np.uint8))
 
-            yield from _send(part, buckets, w.key[order], blob)
+            yield from _send(part, buckets, w.key[one], blob)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, blobs in _by_bucket(batches):
-            digest, doc, size, text = (np.concatenate(x) for x in zip(*blobs, strict=True))
-            of, starts, raw = np.repeat(np.array(parts), [len(b[0]) for b in blobs]), np.concatenate([[0], np.cumsum(size.astype(np.int64))]), text.tobytes()
-            order = np.lexsort((doc, digest))
-            head = np.concatenate([[True], digest[order][1:] != digest[order][:-1]])
-            one = order[head]  # of each distinct string the entry with the least document
-            by_doc = np.argsort(doc[one], kind="stable")
-            one = one[by_doc]
+        for bucket, _, blobs in _by_bucket(batches):
+            digest, size, text = (np.concatenate(x) for x in zip(*blobs, strict=True))
+            starts, raw = np.concatenate([[0], np.cumsum(size.astype(np.int64))]), text.tobytes()
+            held, of, least = (np.concatenate(x) for x in zip(*_of_part(owners_at, -1 - bucket), strict=True))
+            order = np.argsort(held, kind="stable")
+            held, of, least = held[order], of[order], least[order]
+            digest, one = np.unique(digest, return_index=True)  # two chunks of a part may send one strip
+            docs = least[np.searchsorted(held, digest)]
+            by_doc = np.argsort(docs, kind="stable")
+            digest, one, docs = digest[by_doc], one[by_doc], docs[by_doc]
             index = RunLengthIndex([raw[a:b] for a, b in zip(starts[one].tolist(), starts[one + 1].tolist(), strict=True)])
-            found = index.first_documents(doc[one])
+            found = index.first_documents(docs)
             real = index.left >= LENGTH
             places, found, owner = np.flatnonzero(real), found[real], index.string_of[real]
             new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
             places, found, owner = places[new], found[new], owner[new]
             offset = (places - index.starts[owner]).astype(np.int32)
             cuts = np.searchsorted(owner, np.arange(len(one) + 1))
-            slot = np.empty(len(order), np.int64)
-            which = np.cumsum(head) - 1  # distinct strings in order of digest
-            place_of = np.empty(len(one), np.int64)
-            place_of[by_doc] = np.arange(len(one))
-            slot[order] = place_of[which]
+            by_digest = np.argsort(digest)
+            slot = by_digest[np.searchsorted(digest[by_digest], held)]
+            del index
             rows = []
             for p in np.unique(of):
                 s = np.unique(slot[of == p])
                 n = cuts[s + 1] - cuts[s]
-                at = np.repeat(cuts[s] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                rows.append((int(p), packed(digest[one[s]], n.astype(np.int32), offset[at], found[at])))
+                at = np.repeat(cuts[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append((int(p), packed(digest[s], n.astype(np.int32), offset[at], found[at])))
             yield _rows(rows)
 
     sent = docs.mapInArrow(tell, "bucket long, part long, blob binary")
@@ -406,7 +437,9 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
     parts = written(docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")), "repeat-texts")
     keys_at = _to_parts(_keys(parts, buckets, chunk_bytes), "repeat-keys")
     free_shuffles(docs.sparkSession)
-    strips_at = _to_parts(_strips(parts, keys_at, buckets, chunk_bytes), "repeat-strips")
+    owners_at = _to_parts(_owners(parts, keys_at, buckets, chunk_bytes), "repeat-owners")
+    free_shuffles(docs.sparkSession)
+    strips_at = _to_parts(_strips(parts, owners_at, buckets, chunk_bytes), "repeat-strips")
     free_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
