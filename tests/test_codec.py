@@ -164,3 +164,35 @@ def test_missing_and_truncated():
     data = s.encode({"_id": 1, "customer": "someone"})
     with pytest.raises(C.Invalid):
         s.decode(data[:4])
+
+
+def test_lists_charsets_and_lexical_values():
+    s = C.Strict(T.StructType([T.StructField("n", T.ArrayType(T.LongType()), True, {"list": True}), T.StructField("h", T.StringType(), True, {"charset": C.CHARSETS["hex"]}), T.StructField("d", T.DecimalType(9, 2), True, {"lexical": True}), T.StructField("b", T.BooleanType(), True, {"lexical": True}), T.StructField("t", T.DateType(), True, {"lexical": True})]), "r")
+    row = {"n": [1, -2], "h": "F0z", "d": decimal.Decimal("-1.50"), "b": True, "t": dt.date(2020, 2, 29)}
+    assert s.decode(s.encode(row)) == row
+    assert s.decode(s.encode({})) == dict.fromkeys(row)
+    out = C.BitWriter()
+    C.Strings().write(out, "x", "F0", C.CHARSETS["hex"])
+    assert out.done() == int("00000100" + "10011" + "00100" + "000000", 2).to_bytes(3, "big")
+    assert (C.value_of(T.DoubleType(), "-INF"), C.value_of(T.BooleanType(), " 1 ")) == (float("-inf"), True)
+    for kind, text in ((T.LongType(), "abc"), (T.BooleanType(), "yes"), (T.DateType(), "2020-13-01")):
+        with pytest.raises(C.Invalid):
+            C.value_of(kind, text)
+
+
+SC_DOC = [("SE", ("", "r"), None), ("SE", ("", "a"), None), ("SC", None, None), ("AT", ("", "k"), "v"), ("CH", None, "long text"), ("SE", ("", "b"), None), ("EE", None, None), ("EE", None, None), ("SE", ("", "a"), None), ("CH", None, "v"), ("EE", None, None), ("EE", None, None)]
+
+
+@pytest.mark.parametrize("byte_aligned", [False, True])
+def test_self_contained(byte_aligned):
+    o = C.Options(self_contained=True, byte_aligned=byte_aligned, with_options=byte_aligned)
+    data = C.SchemaLess(o).encode(SC_DOC)
+    assert C.SchemaLess(o).decode(data) == SC_DOC
+    assert C.SchemaLess(o).decode(data, skip=True) == [*SC_DOC[:3], *SC_DOC[7:]]
+
+
+def test_doctype_references_and_caps():
+    doc = [("DT", ("", "r"), "pub\0sys\0<!ENTITY x 'y'>"), ("CM", None, "c"), ("SE", ("", "r"), None), ("CH", None, "t"), ("ER", ("", "x"), None), ("SE", ("", "r"), None), ("EE", None, None), ("EE", None, None), ("CM", None, "d")]
+    for o in (C.Options(dtd=True, comments=True), C.Options(dtd=True, comments=True, with_options=True), C.Options(dtd=True, comments=True, max_productions=1)):
+        assert C.SchemaLess(o).decode(C.SchemaLess(o).encode(doc)) == doc
+    assert [e[0] for e in C.SchemaLess().decode(C.SchemaLess().encode(doc))] == ["SE", "CH", "SE", "EE", "EE"]

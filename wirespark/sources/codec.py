@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import types as T
 
+from wirespark.functions.values import CHARSETS
 from wirespark.operators.dictionary import BoundedTable
 
 COOKIE = b"$EXI"
@@ -137,16 +138,20 @@ class Strings:
         for s in shared:
             self.table.add("", s)
 
-    def write(self, out: BitWriter, ctx: str, value: str) -> None:
+    def write(self, out: BitWriter, ctx: str, value: str, charset: str | None = None) -> None:
         hit, number, size = self.table.find(ctx, value)
         if hit == "miss":
-            out.string(value, 2)
+            if charset:
+                out.unsigned(len(value) + 2)
+                _write_characters(out, value, charset)
+            else:
+                out.string(value, 2)
             self.table.add(ctx, value)
         else:
             out.unsigned(0 if hit == "local" else 1)
             out.nbit(number, width(size))
 
-    def read(self, source: BitReader, ctx: str) -> str:
+    def read(self, source: BitReader, ctx: str, charset: str | None = None) -> str:
         n = source.unsigned()
         if n == 0:
             part = self.table.parts.get(ctx, [])
@@ -156,7 +161,7 @@ class Strings:
             return value
         if n == 1:
             return self.table.values[source.nbit(width(len(self.table.values)))][0]
-        value = source.chars(n - 2)
+        value = _read_characters(source, n - 2, charset) if charset else source.chars(n - 2)
         self.table.add(ctx, value)
         return value
 
@@ -177,9 +182,81 @@ def _reversed(digits: str) -> int:
     return int(digits[::-1] or "0")
 
 
+def _write_characters(out: BitWriter, text: str, charset: str) -> None:
+    """Characters by their places in a restricted set, others behind its escape code."""
+    for c in text:
+        at = charset.find(c)
+        out.nbit(at if at >= 0 else len(charset), len(charset).bit_length())
+        if at < 0:
+            out.unsigned(ord(c))
+
+
+def _read_characters(source: BitReader, n: int, charset: str) -> str:
+    out = []
+    for _ in range(n):
+        at = source.nbit(len(charset).bit_length())
+        if at > len(charset):
+            raise Invalid(f"no character {at}")
+        out.append(charset[at] if at < len(charset) else chr(source.unsigned()))
+    return "".join(out)
+
+
+def text_of(kind: T.DataType, value: Any) -> str:
+    """A value's lexical form."""
+    if isinstance(kind, T.BooleanType):
+        return str(value).lower()
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        m, e = _float_parts(value)
+        return {1: "INF", -1: "-INF", 0: "NaN"}[m] if e == SPECIAL_EXPONENT else f"{m}E{e}"
+    if isinstance(kind, T.BinaryType):
+        return bytes(value).hex().upper()
+    if isinstance(kind, T.DecimalType):
+        return format(decimal.Decimal(value), "f")
+    return value.isoformat() if isinstance(kind, (T.DateType, T.TimestampNTZType)) else str(value)
+
+
+def value_of(kind: T.DataType, text: str) -> Any:
+    """The value of a lexical form; what isn't one is refused."""
+    text = text.strip(" \t\r\n")
+    try:
+        if isinstance(kind, T.BooleanType):
+            return {"true": True, "1": True, "false": False, "0": False}[text]
+        if isinstance(kind, T.IntegralType):
+            return int(text)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return float(text.replace("INF", "inf"))
+        if isinstance(kind, T.BinaryType):
+            return bytes.fromhex(text)
+        if isinstance(kind, T.DecimalType):
+            return decimal.Decimal(text)
+        if isinstance(kind, T.DateType):
+            return dt.date.fromisoformat(text)
+        if isinstance(kind, T.TimestampNTZType):
+            return dt.datetime.fromisoformat(text)
+    except (KeyError, ValueError, decimal.InvalidOperation) as e:
+        raise Invalid(f"{text!r} is no {kind.simpleString()}") from e
+    raise Invalid(f"no lexical form for {kind.simpleString()}")
+
+
+def _charset(kind: T.DataType) -> str | None:
+    """The restricted set of a type's lexical form."""
+    for kinds, name in (((T.BooleanType,), "boolean"), ((T.IntegralType,), "integer"), ((T.DoubleType, T.FloatType), "double"), ((T.DecimalType,), "decimal"), ((T.BinaryType,), "hex"), ((T.DateType, T.TimestampNTZType), "datetime")):
+        if isinstance(kind, kinds):
+            return CHARSETS[name]
+    return None
+
+
 def write_value(out: BitWriter, strings: Strings, ctx: str, kind: T.DataType, value: Any, meta: dict) -> None:
-    """A typed value by its wire form; meta: enum, or min and max."""
-    if "enum" in meta:
+    """A typed value by its wire form; meta: enum, min and max, charset, lexical (typed values as text), list (of a simple type)."""
+    if meta.get("list") and isinstance(kind, T.ArrayType):
+        out.unsigned(len(value))
+        for item in value:
+            write_value(out, strings, ctx, kind.elementType, item, {k: v for k, v in meta.items() if k != "list"})
+    elif meta.get("lexical") and _charset(kind):
+        strings.write(out, ctx, text_of(kind, value), _charset(kind))
+    elif "charset" in meta:
+        strings.write(out, ctx, value, meta["charset"])
+    elif "enum" in meta:
         if value not in meta["enum"]:
             raise Invalid(f"{value!r} is no member")
         out.nbit(meta["enum"].index(value), width(len(meta["enum"])))
@@ -227,6 +304,12 @@ def write_value(out: BitWriter, strings: Strings, ctx: str, kind: T.DataType, va
 
 
 def read_value(source: BitReader, strings: Strings, ctx: str, kind: T.DataType, meta: dict) -> Any:
+    if meta.get("list") and isinstance(kind, T.ArrayType):
+        return [read_value(source, strings, ctx, kind.elementType, {k: v for k, v in meta.items() if k != "list"}) for _ in range(source.unsigned())]
+    if meta.get("lexical") and _charset(kind):
+        return value_of(kind, strings.read(source, ctx, _charset(kind)))
+    if "charset" in meta:
+        return strings.read(source, ctx, meta["charset"])
     if "enum" in meta:
         i = source.nbit(width(len(meta["enum"])))
         if i >= len(meta["enum"]):
@@ -272,6 +355,9 @@ class Options:
     byte_aligned: bool = False
     comments: bool = False
     pis: bool = False
+    dtd: bool = False
+    self_contained: bool = False
+    max_productions: int = -1
     max_length: int = -1
     capacity: int = -1
     local: bool = True
@@ -311,8 +397,8 @@ def write_header(out: BitWriter, o: Options) -> None:
     out.nbit(int(o.with_options), 1)
     out.nbit(0, 5)
     if o.with_options:
-        uncommon = {"alignment": {"byte": {}} if o.byte_aligned else None, "valueMaxLength": o.max_length if o.max_length >= 0 else None, "valuePartitionCapacity": o.capacity if o.capacity >= 0 else None}
-        keep = {"comments": {} if o.comments else None, "pis": {} if o.pis else None}
+        uncommon = {"alignment": {"byte": {}} if o.byte_aligned else None, "selfContained": {} if o.self_contained else None, "valueMaxLength": o.max_length if o.max_length >= 0 else None, "valuePartitionCapacity": o.capacity if o.capacity >= 0 else None}
+        keep = {"dtd": {} if o.dtd else None, "comments": {} if o.comments else None, "pis": {} if o.pis else None}
         less = {"uncommon": uncommon if any(v is not None for v in uncommon.values()) else None, "preserve": keep if any(v is not None for v in keep.values()) else None}
         document = {"lesscommon": less if any(v is not None for v in less.values()) else None, "common": {"fragment": {}} if o.fragment else None, "strict": {} if o.strict else None}
         Strict(OPTIONS, "header").write_body(out, document, Strings())
@@ -343,16 +429,21 @@ def read_header(data: bytes, o: Options) -> tuple[BitReader, Options]:
         uncommon, keep = less.get("uncommon") or {}, less.get("preserve") or {}
         if common.get("compression") is not None or (uncommon.get("alignment") or {}).get("pre-compress") is not None:
             raise Invalid("compression isn't supported")
-        if uncommon.get("selfContained") is not None or any(keep.get(k) is not None for k in ("dtd", "prefixes", "lexicalValues")):
+        if any(keep.get(k) is not None for k in ("prefixes", "lexicalValues")):
             raise Invalid("an option that isn't supported")
         limit = lambda k: -1 if uncommon.get(k) is None else uncommon[k]
-        o = Options(d["strict"] is not None, common.get("fragment") is not None, (uncommon.get("alignment") or {}).get("byte") is not None, keep.get("comments") is not None, keep.get("pis") is not None, limit("valueMaxLength"), limit("valuePartitionCapacity"), o.local, cookie, True, o.shared)
+        o = Options(d["strict"] is not None, common.get("fragment") is not None, (uncommon.get("alignment") or {}).get("byte") is not None, keep.get("comments") is not None, keep.get("pis") is not None, keep.get("dtd") is not None, uncommon.get("selfContained") is not None, o.max_productions, limit("valueMaxLength"), limit("valuePartitionCapacity"), o.local, cookie, True, o.shared)
     source.byte_aligned = o.byte_aligned
     if o.byte_aligned:
         source.align()
     return source, o
 
 
+def _many(f: T.StructField) -> bool:
+    """Whether a field is a repeated element; an array marked as a list is one element with a list for its content."""
+    return isinstance(f.dataType, T.ArrayType) and not f.metadata.get("list")
+
+
 class Strict:
     """Documents of one root element with a schema."""
 
@@ -390,7 +481,7 @@ class Strict:
         out = []
         for i in range(at, len(fields)):
             out.append(i)
-            if not (fields[i].nullable or isinstance(fields[i].dataType, T.ArrayType) or (again and i == at)):
+            if not (fields[i].nullable or _many(fields[i]) or (again and i == at)):
                 return out
         return [*out, len(fields)]
 
@@ -407,7 +498,7 @@ class Strict:
             value = row.get(f.name)
             if value is None:
                 continue
-            many = isinstance(f.dataType, T.ArrayType)
+            many = _many(f)
             for item in value if many else [value]:
                 step(i)
                 self._content(out, strings, f, f.dataType.elementType if many else f.dataType, item)
@@ -424,7 +515,7 @@ class Strict:
 
     def _read(self, source: BitReader, strings: Strings, schema: T.StructType) -> dict:
         fields, at, again = self._particles(schema), 0, False
-        row: dict = {f.name: [] if isinstance(f.dataType, T.ArrayType) else None for f in schema}
+        row: dict = {f.name: [] if _many(f) else None for f in schema}
         while True:
             ways = self._next(fields, at, again)
             k = source.nbit(width(len(ways)))
@@ -434,7 +525,7 @@ class Strict:
             if i == len(fields):
                 return row
             f = fields[i]
-            many = isinstance(f.dataType, T.ArrayType)
+            many = _many(f)
             kind = f.dataType.elementType if many else f.dataType
             if isinstance(kind, T.StructType):
                 value = self._read(source, strings, kind)
@@ -508,31 +599,49 @@ class _Grammar:
 
 
 class SchemaLess:
-    """Documents without a schema: every value a string, grammars learned as the document goes."""
+    """Documents without a schema: every value a string, grammars learned as the document goes.
+
+    Events beside SE, AT, CH and EE, if their option is on: CM, PI, DT (name; public, system and internal subset joined by
+    NUL), ER (name), SC (right after an SE: the element is byte-aligned with tables of its own, and its bytes' length
+    goes before it, so that a reader can pass over it). max_productions caps what is learned; beyond it the escape stays.
+    """
 
     def __init__(self, o: Options | None = None):
         self.o = o or Options()
-        third = [k for k, on in (("CM", self.o.comments), ("PI", self.o.pis)) if on]
-        self.third = third
-        self.misc = ["CM/PI"] if third else []
+        self.third = [k for k, on in (("CM", self.o.comments), ("PI", self.o.pis)) if on]
+        misc = [*["ER"] * self.o.dtd, *["CM/PI"] * bool(self.third)]
+        self.start_second, self.content_second = ["EE", "AT", *["SC"] * self.o.self_contained, "SE", "CH", *misc], ["SE", "CH", *misc]
 
-    def _start(self) -> None:
-        self.names, self.strings, self.elements, self.ended = _Names(), self.o.strings(), {}, False
+    def _begin(self) -> None:
+        self.names, self.strings, self.elements, self.ended, self.learned = _Names(), self.o.strings(), {}, False, 0
 
     def _element(self, name: Name) -> tuple[_Grammar, _Grammar]:
         """Start-tag and content grammar of a name."""
         if name not in self.elements:
-            self.elements[name] = (_Grammar(["EE", "AT", "SE", "CH", *self.misc]), _Grammar(["SE", "CH", *self.misc], [("EE", None)]))
+            self.elements[name] = (_Grammar(self.start_second), _Grammar(self.content_second, [("EE", None)]))
         return self.elements[name]
 
+    def _learn(self, at: _Grammar, key: tuple[str, Name | None]) -> None:
+        if key not in at.first and (self.o.max_productions < 0 or self.learned < self.o.max_productions):
+            at.learn(key)
+            self.learned += 1
+
     def encode(self, events: list[Event]) -> bytes:
         """Events of a document's root and what surrounds it, without SD and ED."""
-        self._start()
         out = BitWriter(self.o.byte_aligned)
         write_header(out, self.o)
+        self._begin()
+        self._write(out, events)
+        return out.done()
+
+    def _write(self, out: BitWriter, events: list[Event]) -> None:
         stack: list[tuple[Name, bool]] = []
-        for kind, name, value in events:
-            if (kind == "CM" and not self.o.comments) or (kind == "PI" and not self.o.pis):
+        dropped = {"CM": not self.o.comments, "PI": not self.o.pis, "DT": not self.o.dtd, "ER": not self.o.dtd, "SC": not self.o.self_contained}
+        i = 0
+        while i < len(events):
+            kind, name, value = events[i]
+            i += 1
+            if dropped.get(kind):
                 continue
             if not stack:
                 self._outside(out, kind)
@@ -542,8 +651,8 @@ class SchemaLess:
                 start, content = self._element(stack[-1][0])
                 at = start if stack[-1][1] else content
                 key = (kind, name if kind in ("SE", "AT") else None)
-                code, escapes = at.code(key), bool(at.second)
-                w = width(len(at.first) + escapes)
+                code = at.code(key)
+                w = width(len(at.first) + 1)
                 if code is not None:
                     out.nbit(code, w)
                 else:
@@ -554,10 +663,27 @@ class SchemaLess:
                     out.nbit(at.second.index(second), width(len(at.second)))
                     if second == "CM/PI":
                         out.nbit(self.third.index(kind), width(len(self.third)))
-                    else:
+                    elif kind not in ("ER", "SC"):
                         if kind in ("SE", "AT"):
                             self.names.write(out, name)
-                        at.learn(key)
+                        self._learn(at, key)
+            if kind == "SC":
+                j, depth = i, 1
+                while depth:
+                    depth += {"SE": 1, "EE": -1}.get(events[j][0], 0)
+                    j += 1
+                inner = SchemaLess(self.o)
+                inner._begin()
+                part = BitWriter(self.o.byte_aligned)
+                inner._write(part, [("SE", stack[-1][0], None), *events[i:j]])
+                data = part.done()
+                out.align()
+                out.unsigned(len(data))
+                for b in data:
+                    out.put(b, 8)
+                stack.pop()
+                self.ended, i = True, j
+                continue
             if kind in ("AT", "CH"):
                 self.strings.write(out, _ctx(name if kind == "AT" else stack[-1][0]), value)
             elif kind == "CM":
@@ -565,66 +691,102 @@ class SchemaLess:
             elif kind == "PI":
                 out.string(name[1])
                 out.string(value)
-            if kind == "SE":
-                if stack:
-                    stack[-1] = (stack[-1][0], False)
-                stack.append((name, True))
-            elif kind == "EE":
-                stack.pop()
-                self.ended = True
-            elif kind != "AT" and stack:
-                stack[-1] = (stack[-1][0], False)
+            elif kind == "DT":
+                for text in (name[1], *value.split("\0")):
+                    out.string(text)
+            elif kind == "ER":
+                out.string(name[1])
+            self._moved(stack, kind, name)
         if stack:
             raise Invalid("the root isn't closed")
         self._outside(out, "ED")
-        return out.done()
+
+    def _moved(self, stack: list[tuple[Name, bool]], kind: str, name: Name | None) -> None:
+        """The element stack after an event: (name, still in its start tag)."""
+        if kind not in ("AT", "EE") and stack:
+            stack[-1] = (stack[-1][0], False)
+        if kind == "SE":
+            stack.append((name, True))
+        elif kind == "EE":
+            stack.pop()
+            self.ended = True
+
+    def _ways(self) -> tuple[list[str], list[str]]:
+        """First-level events outside the root, and those behind the escape."""
+        ways = ["SE", "ED"] if self.o.fragment else ["ED" if self.ended else "SE"]
+        return ways, [*["DT"] * (self.o.dtd and not self.ended), *["CM/PI"] * bool(self.third)]
 
     def _outside(self, out: BitWriter, kind: str) -> None:
-        """An event code at document level: SE or ED first, comments and instructions behind the escape. A fragment has both."""
-        ways = ["SE", "ED"] if self.o.fragment else ["ED" if kind == "ED" or (kind != "SE" and self.ended) else "SE"]
-        w = width(len(ways) + bool(self.third))
+        ways, second = self._ways()
+        w = width(len(ways) + bool(second))
+        group = "CM/PI" if kind in self.third else kind
         if kind in ways:
             out.nbit(ways.index(kind), w)
-        elif kind in self.third:
+        elif group in second:
             out.nbit(len(ways), w)
-            out.nbit(self.third.index(kind), width(len(self.third)))
+            out.nbit(second.index(group), width(len(second)))
+            if group == "CM/PI":
+                out.nbit(self.third.index(kind), width(len(self.third)))
         else:
             raise Invalid(f"{kind} isn't allowed outside the root")
 
-    def decode(self, data: bytes) -> list[Event]:
+    def decode(self, data: bytes, skip: bool = False) -> list[Event]:
+        """Events of a document; skip: without the content of self-contained elements."""
         source, o = read_header(data, self.o)
-        self.__init__(o)
-        self._start()
+        codec = SchemaLess(o)
+        codec._begin()
+        return codec._read(source, skip)
+
+    def _read(self, source: BitReader, skip: bool) -> list[Event]:
         events: list[Event] = []
         stack: list[tuple[Name, bool]] = []
-        ended = False
         while True:
+            name = None
             if not stack:
-                ways = ["SE", "ED"] if o.fragment else ["ED" if ended else "SE"]
-                k = source.nbit(width(len(ways) + bool(self.third)))
-                kind = ways[k] if k < len(ways) else self.third[source.nbit(width(len(self.third)))]
+                ways, second = self._ways()
+                k = source.nbit(width(len(ways) + bool(second)))
+                if k > len(ways) or (k == len(ways) and not second):
+                    raise Invalid(f"no event {k}")
+                kind = ways[k] if k < len(ways) else second[source.nbit(width(len(second)))]
                 if kind == "ED":
                     return events
-                name = self.names.read(source) if kind == "SE" else None
+                if kind == "SE":
+                    name = self.names.read(source)
             else:
                 start, content = self._element(stack[-1][0])
                 at = start if stack[-1][1] else content
                 k = source.nbit(width(len(at.first) + 1))
+                if k > len(at.first):
+                    raise Invalid(f"no event {k}")
                 if k < len(at.first):
                     kind, name = at.first[len(at.first) - 1 - k]
-                elif k > len(at.first):
-                    raise Invalid(f"no event {k}")
                 else:
                     i = source.nbit(width(len(at.second)))
                     if i >= len(at.second):
                         raise Invalid(f"no event {k}.{i}")
-                    kind, name = at.second[i], None
-                    if kind == "CM/PI":
-                        kind = self.third[source.nbit(width(len(self.third)))]
-                    else:
-                        if kind in ("SE", "AT"):
-                            name = self.names.read(source)
-                        at.learn((kind, name))
+                    kind = at.second[i]
+                    if kind in ("SE", "AT"):
+                        name = self.names.read(source)
+                    if kind not in ("CM/PI", "ER", "SC"):
+                        self._learn(at, (kind, name))
+            if kind == "CM/PI":
+                i = source.nbit(width(len(self.third)))
+                kind = self.third[i]
+            if kind == "SC":
+                source.align()
+                size = source.unsigned()
+                events.append(("SC", None, None))
+                if skip:
+                    events.append(("EE", None, None))
+                else:
+                    inner = SchemaLess(self.o)
+                    inner._begin()
+                    at_byte = source.at // 8
+                    events.extend(inner._read(BitReader(source.data[at_byte : at_byte + size], 0, source.byte_aligned), skip)[1:])
+                source.skip(size)
+                stack.pop()
+                self.ended = True
+                continue
             value = None
             if kind in ("AT", "CH"):
                 value = self.strings.read(source, _ctx(name if kind == "AT" else stack[-1][0]))
@@ -633,16 +795,13 @@ class SchemaLess:
             elif kind == "PI":
                 name = ("", source.string())
                 value = source.string()
+            elif kind == "DT":
+                name = ("", source.string())
+                value = "\0".join(source.string() for _ in range(3))
+            elif kind == "ER":
+                name = ("", source.string())
             events.append((kind, name, value))
-            if kind == "SE":
-                if stack:
-                    stack[-1] = (stack[-1][0], False)
-                stack.append((name, True))
-            elif kind == "EE":
-                stack.pop()
-                ended = True
-            elif kind != "AT" and stack:
-                stack[-1] = (stack[-1][0], False)
+            self._moved(stack, kind, name)
 
 
 def _ctx(name: Name) -> str:
