@@ -31,7 +31,7 @@ from wirespark.llm.common import mix64, partitions_for, slices, texts_of, writte
 from wirespark.llm.links import list_components
 
 SAMPLES, GRAM, PERIOD, SEED = 96, 6, 4096, 7
-CHUNK_BYTES, PARTITION_BYTES = 16 << 20, 16 << 20
+CHUNK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
 SHRINK = 128
 BANDS, BAND_STEPS = 16, 5
 SCHEMA = "kind string, part long, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

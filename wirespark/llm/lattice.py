@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from wirespark.llm.common import coded, lowered, mix64, per_text, slices, split_words, texts_of, written
 
 SPACE = "▁"
-CHUNK_BYTES, BLOCK_CHARS = 32 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_CHARS = 16 << 20, 1 << 18
 FREQUENT = 400_000
 ROUNDS, PRIOR = 3, 0.01
 STEP = np.uint64(0x100000001B3)

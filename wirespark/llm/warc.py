@@ -24,27 +24,16 @@ CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Elements that end a line of text.
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
-#: (pattern, replacement) in order; they hold in Java and in RE2 alike.
+SPACE = "[ \t\r\n\f]"
+#: (pattern, replacement) in order, before and after entities are replaced; they hold in Java and in RE2 alike.
 TO_TEXT = (
-    ("(?s)<!--.*?-->", ""),
-    ("(?is)<head[ \t\r\n\f>].*?</head[ \t\r\n\f]*>", ""),
-    ("(?is)<title[ \t\r\n\f>].*?</title[ \t\r\n\f]*>", ""),
-    ("(?is)<script[ \t\r\n\f>].*?</script[ \t\r\n\f]*>", ""),
-    ("(?is)<style[ \t\r\n\f>].*?</style[ \t\r\n\f]*>", ""),
-    ("[ \t\r\n\f]+", " "),
+    ("(?is)<!--.*?-->|" + "|".join(f"<{x}(?:{SPACE}[^>]*)?>.*?</{x}{SPACE}*>" for x in ("head", "title", "script", "style")), ""),
+    (f"{SPACE}+", " "),
     (f"(?i)</?(?:{BLOCKS})(?:[ /][^>]*)?>", "\n"),
     ("<[^>]*>", ""),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-    (" *\n[ \n]*", "\n"),
-    ("  +", " "),
-    ("^[ \n]+", ""),
-    ("[ \n]+$", ""),
 )
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+TIDY = ((" *\n[ \n]*", "\n"), ("  +", " "))
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LINK = "(?i)<a[ \t\r\n\f][^>]*href="
 
@@ -52,7 +41,11 @@ LINK = "(?i)<a[ \t\r\n\f][^>]*href="
 def plain_text(html: Column) -> Column:
     for pattern, put in TO_TEXT:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
-    return html
+    for name, put in ENTITIES:
+        html = F.replace(html, F.lit(name), F.lit(put))
+    for pattern, put in TIDY:
+        html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
+    return F.btrim(html, F.lit(" \n"))
 
 
 def _urn(*parts: Column) -> Column:
@@ -152,10 +145,16 @@ def _sql() -> str:
     def q(s: str) -> str:
         return "'" + s.replace("'", "''") + "'" if not any(c in s for c in "\r\n\t\f") else " || ".join(f"chr({ord(c)})" if c in "\r\n\t\f" else q(c) for c in s)
 
-    text = "payload"
-    for pattern, put in TO_TEXT:
-        pattern = pattern.replace("\r", r"\r").replace("\n", r"\n").replace("\t", r"\t").replace("\f", r"\f")
-        text = f"regexp_replace({text}, {q(pattern)}, {q(put)}, 'g')"
+    def replaced(x: str, pairs) -> str:
+        for pattern, put in pairs:
+            pattern = pattern.replace("\r", r"\r").replace("\n", r"\n").replace("\t", r"\t").replace("\f", r"\f")
+            x = f"regexp_replace({x}, {q(pattern)}, {q(put)}, 'g')"
+        return x
+
+    text = replaced("payload", TO_TEXT)
+    for name, put in ENTITIES:
+        text = f"replace({text}, {q(name)}, {q(put)})"
+    text = f"trim({replaced(text, TIDY)}, ' ' || chr(10))"
     urn = lambda x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({x}) AS h))"
     end = "chr(13) || chr(10)"
     space = r"[ \t\r\n\f]"
