@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespark.llm.common import discard, written
 
 
+#: Words of 64 bits in a mark.
+MARK_WORDS = 16
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of links (a, b); label is the least node of its component. Nothing is collected but a count a round."""
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
@@ -29,35 +33,61 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def list_components(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Lists of more nodes are narrowed before pairs across components are asked.
+HOT = 64
+
+
+def list_components(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, narrow: Callable[[DataFrame], DataFrame] | None = None, marks: DataFrame | None = None) -> DataFrame:
     """(node, label) of linked nodes, from written inverted lists (value, node, size, score); confirm: keeps the true links of pairs (a, b).
 
-    Every node of a list meets the list's most central node, that of the highest score; then nodes outside a list's
-    largest component meet the list's nodes of other components. Pairs whose sizes alone rule them out, the lesser below
-    percent of the greater, are not asked. narrow: from the nodes (node, label, size) of lists with several components to
-    lists (value, node, label, size) that hold every true link among them, but fewer pairs.
+    First every node of a list meets the list's most central node, that of the highest score; then each meets its next
+    ones in a shuffled order, if they are of other components. At last nodes outside a list's largest component meet the
+    list's nodes of other components. narrow: from the nodes (node, label, size) of hot lists to lists (value, node,
+    label, size) that hold every true link among them, but fewer pairs. Pairs that sizes or marks rule out aren't
+    asked: marks (node, bits) are bitmaps of sets, which differ in no more bits than the sets in elements.
     """
     near = (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent)
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     firsts = lists.groupBy("value").agg(F.max(F.struct("score", "node", "size")).alias("f")).select("value", F.col("f.node").alias("x"), F.col("f.size").alias("n_a"))
     star = lists.select("value", F.col("node").alias("y"), F.col("size").alias("n_b")).join(firsts, "value").where((F.col("x") != F.col("y")) & near)
-    links = written(confirm(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "star-links")
-    labels = components(links)
-    joined = written(lists.join(labels, "node", "left").select("value", "node", "size", F.coalesce("label", "node").alias("label")), "labelled-lists")
-    several = joined.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    open_lists = joined.join(several, "value")
+    links = written(confirm(star.select(*pair).distinct()), "star-links")
+    joined = written(_labelled(lists, components(links)), "labelled-lists")
+    counts = joined.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    open_lists = joined.join(counts.select("value", "n"), "value")
     if narrow is not None:
-        nodes = written(open_lists.select("node", "label", "size").distinct(), "open-nodes")
-        open_lists = narrow(nodes)
-    open_lists = written(open_lists, "open-lists")
-    counts = open_lists.groupBy("value", "label").agg(F.count("*").alias("n"))
+        hot = written(open_lists.where(F.col("n") > HOT).select("node", "label", "size").distinct(), "hot-nodes")
+        open_lists = open_lists.where(F.col("n") <= HOT).select("value", "node", "label", "size").unionByName(narrow(hot))
+    if marks is not None:
+        open_lists = open_lists.join(marks, "node")
+        far = sum(F.bit_count(F.col("b_x")[i].bitwiseXOR(F.col("b_y")[i])) for i in range(MARK_WORDS))
+        near = near & (far * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    else:
+        open_lists = open_lists.withColumn("bits", F.lit(None).cast("array<long>"))
+    open_lists = written(open_lists.select("value", "node", "size", "label", "bits"), "open-lists")
+
+    by = Window.partitionBy("value").orderBy(F.xxhash64("node", "value"))
+    other = lambda k: F.lead(F.struct("node", "size", "label", "bits"), k).over(by)
+    walk = open_lists.select("*", other(1).alias("o1"), other(2).alias("o2")).select("*", F.explode(F.array("o1", "o2")).alias("o")).where("o is not null")
+    walk = walk.select(F.col("node").alias("x"), F.col("size").alias("n_a"), F.col("label").alias("l_x"), F.col("bits").alias("b_x"), F.col("o.node").alias("y"), F.col("o.size").alias("n_b"), F.col("o.label").alias("l_y"), F.col("o.bits").alias("b_y"))
+    links = written(links.unionByName(confirm(walk.where((F.col("l_x") != F.col("l_y")) & near).select(*pair).distinct())), "walk-links")
+    labels = components(links)
+
+    now = _labelled(open_lists, labels)
+    counts = now.groupBy("value", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("value", F.col("m.label").alias("main"))
-    ours = open_lists.join(main, "value")
-    one = ours.where("label <> main").select("value", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("size").alias("n_a"))
-    two = ours.select("value", F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("size").alias("n_b"), "main")
-    across = one.join(two, "value").where((F.col("l_x") != F.col("l_y")) & near & ((F.col("l_y") == F.col("main")) | (F.col("x") < F.col("y"))))
-    more = written(confirm(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()), "cross-links")
+    ours = now.join(main, "value")
+    one = ours.where("label <> main").select("value", F.col("node").alias("x"), F.col("label").alias("l_x"), F.col("size").alias("n_a"), F.col("bits").alias("b_x"))
+    two = ours.select("value", F.col("node").alias("y"), F.col("label").alias("l_y"), F.col("size").alias("n_b"), F.col("bits").alias("b_y"), "main")
+    apart = (F.col("l_x") != F.col("l_y")) & ((F.col("l_y") == F.col("main")) | (F.col("x") < F.col("y")))
+    across = one.join(two, (one["value"] == two["value"]) & apart & near)
+    more = written(confirm(across.select(*pair).distinct()), "cross-links")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(links.unionByName(more))
     for t in (joined, open_lists):
         discard(t)
     return labels
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists with the components' labels, a node's own name where it has no links."""
+    return lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

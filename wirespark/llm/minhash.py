@@ -7,8 +7,8 @@ only its rarest values beyond that part are listed, and values that no other nod
 lists are filtered by the union-sketch estimate and confirmed by the exact Jaccard similarity of the full sets.
 
 Lists are not paired out. First every node of a list meets its most central node; the links found merge nodes into
-components. For the nodes of lists with several components the rarest shingles of the full sets make narrower lists, whose
-pairs across components are asked, from the smaller components' side. No partner is capped: what is
+components. For the nodes of hot lists with several components the rarest shingles of the full sets make narrower lists; bitmaps
+of the full sets then rule out most pairs across components before they leave the join. No partner is capped: what is
 skipped is already connected. Hot lists are joined by key, which adaptive execution splits; equal texts were merged.
 
 Shingles: n words, lower-cased in ASCII only; a text with fewer words is one shingle; a text without words (null, empty,
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespark.llm.common import coded, discard, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
-from wirespark.llm.links import list_components
+from wirespark.llm.links import MARK_WORDS, list_components
 
 CHUNK_BYTES = 8 << 20
 SKETCH, LEAST = 32, 0.375
@@ -78,15 +78,23 @@ def sketches(docs: DataFrame, n: int, k: int = SKETCH) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, sketch array<long>")
 
 
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each hash, in 64 * MARK_WORDS bits."""
+    bits = np.zeros(64 * MARK_WORDS, np.uint8)
+    bits[(hashes >> np.uint64(7)) % np.uint64(64 * MARK_WORDS)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _full_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """(node, set) of the rows that stand for nodes."""
+    """(node, set, bits) of the rows that stand for nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _arrays(shingle_sets(texts_of(batch.column("text")), n))], ["node", "set"])
+            sets = shingle_sets(texts_of(batch.column("text")), n)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _arrays(sets), _arrays([_bitmap(s).view(np.uint64) for s in sets])], ["node", "set", "bits"])
 
     rows = docs.select("text", row_hash("doc_id", "text").alias("row")).join(reps, "row").select("node", "text")
-    return rows.mapInArrow(run, "node binary, set array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node binary, set array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def _close(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -128,17 +136,17 @@ def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k:
     shared = written(posts.join(times, "value"), "shared-values")
     kept = F.greatest(F.lit(1), F.floor(F.size("sketch") * F.lit(LEAST)))
     least = full.select("node", "n_shingles", F.size("sketch").alias("m"), kept.alias("kept"))
-    counted = shared.groupBy("node").agg(F.count("*").alias("c"))
+    counted = shared.groupBy("node").agg(F.count("*").alias("c"), F.sum("df").alias("central"))
     # nodes with too few shared values cannot have a partner
     alive = counted.join(least, "node").where("c >= kept")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     # of m values, m - c are unshared and rarest; the first m - kept + 1 are listed
     lists = shared.join(alive, "node").withColumn("r", rank + F.col("m") - F.col("c")).where(F.col("r") <= F.col("m") - F.col("kept") + 1)
-    lists = written(lists.select("value", "node", F.col("n_shingles").alias("size"), (F.col("c") / F.col("m")).alias("score")), "lists")
+    lists = written(lists.select("value", "node", F.col("n_shingles").alias("size"), (F.col("central") / F.col("m")).alias("score")), "lists")
     names = lists.select("node").distinct()
     nodes = written(full.join(names, "node", "left_semi"), "nodes")
     sets = written(_full_sets(docs, lookup(nodes.select("node", "row"), nodes.count()), n), "full-sets")
-    labels = list_components(lists, lambda pairs: _confirmed(pairs, nodes, sets, percent, k), percent, lambda own: _rarest(own, sets, percent))
+    labels = list_components(lists, lambda pairs: _confirmed(pairs, nodes, sets, percent, k), percent, lambda own: _rarest(own, sets, percent), sets.select("node", "bits"))
     for t in (full, shared, lists, sets, nodes):
         discard(t)
     return labels
