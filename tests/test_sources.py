@@ -97,3 +97,21 @@ def test_header_expression(spark):
     got = {r["i"]: r["h"] for r in df.select("i", exi.header(F.col("content")).alias("h")).collect()}
     assert [got[i]["valid"] for i in (0, 1, 2, 9, 10)] == [True, True, True, False, False]
     assert [got[i]["cookie"] for i in (0, 1, 2)] == [False, True, False] and [got[i]["options"] for i in (0, 1, 2)] == [False, False, True]
+
+
+def test_transitions_are_the_codec_s(spark):
+    from wirespark.operators.grammar import transitions
+    from wirespark.sources.codec import BitReader, Strict
+
+    schema = T.StructType([T.StructField("_k", T.StringType()), T.StructField("a", T.ArrayType(T.StructType([]))), T.StructField("b", T.StructType([]), False), T.StructField("c", T.StructType([]))])
+    rows = {(r["state"], r["code"]): r for r in transitions(spark, schema, "r").collect() if r["grammar"] == "r"}
+    for row in ({"a": [{}, {}], "b": {}, "c": {}}, {"b": {}}, {"a": [{}], "b": {}}):
+        data = Strict(schema, "r").encode(row)
+        source, state, seen = BitReader(data, 9), 0, []
+        while state is not None:
+            size = {r["width"] for (s, _), r in rows.items() if s == state}
+            assert len(size) == 1
+            r = rows[state, source.nbit(size.pop())]
+            seen.append(r["local"])
+            state = r["next"]
+        assert seen == [*["a"] * len(row.get("a", [])), "b", *["c"] * ("c" in row), None]

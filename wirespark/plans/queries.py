@@ -12,6 +12,7 @@ from wirespark.functions import bits as B
 from wirespark.functions import values as V
 from wirespark.operators import dictionary as D
 from wirespark.operators import events as E
+from wirespark.operators import grammar as G
 from wirespark.plans import oracle as O
 from wirespark.sources import exi
 
@@ -324,3 +325,16 @@ def sc_index(spark, d):
     rows = docs.select("key", sized.alias("s")).select("key", "s", F.posexplode("s").alias("i", "p"))
     before = F.aggregate(F.slice("s", 1, F.col("i")), F.lit(0).cast("long"), lambda n, p: n + p["size"])
     return rows.select("key", "p.line", long(F.col("i") + 1).alias("part"), "p.size", before.alias("at"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS key, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 0 END, CASE WHEN o_orderkey % 3 = 0 THEN 1 END, CASE WHEN o_custkey % 2 = 0 THEN 2 END, 3], lambda x: x IS NOT NULL) AS h FROM orders),
+e AS (SELECT key, h, unnest(range(1, len(h) + 1)) AS i FROM p), s AS (SELECT key, h[i] AS field, CASE WHEN i = 1 THEN 0 ELSE h[i - 1] + 1 END AS state FROM e)
+SELECT key, CAST(field AS BIGINT) AS field, CAST(field - state AS BIGINT) AS code, CAST(CASE 4 - state WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS BIGINT) AS width FROM s""")
+def event_codes_strict(spark, d):
+    codes = G.optional_codes([F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 2 == 0])
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.explode(codes).alias("e")).select("key", "e.*")
+
+
+@query()
+def strict_transitions(spark, d):
+    return G.transitions(spark, ORDER, "order")
