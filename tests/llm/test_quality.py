@@ -32,7 +32,9 @@ def test_odd_rows_and_clashing_columns(spark):
     for r in got:
         assert {k: r[k] for k in base_measures(r["text"])} == base_measures(r["text"])
     assert rows(quality.judge(docs.limit(0), measures=quality.BASE)) == []
-    assert quality.kept(docs).columns == docs.columns
+    clean = (30, " ".join(f"word{i}" for i in range(60)), "en", "s", 1, 1)  # the other rows are short or repeat themselves
+    docs = docs.union(spark.createDataFrame([clean], docs.schema)).withColumn("_kept", quality.F.lit(1))
+    assert quality.kept(docs).columns == docs.columns and [r["doc_id"] for r in rows(quality.kept(docs))] == [30]
 
 
 @pytest.mark.parametrize("order", [1, -1])
