@@ -121,36 +121,41 @@ def inverse_powers(n: int) -> np.ndarray:
     return _upto("down", BACK, n)
 
 
-def suffix_order(text: np.ndarray, string_of: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Places of text by their suffixes, each up to its string's end; ends are less than bytes, and less for earlier strings. left: bytes to the string's end."""
-    n = len(text)
-    wide = np.zeros(n, np.uint64)
+def eights(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number, zeros behind the string's end."""
+    n, out = len(text), np.zeros(len(text), np.uint64)
     for k in range(8):
-        shifted = np.zeros(n, np.uint64)
-        shifted[: n - k] = text[k:]
-        wide |= np.where(left > k, shifted, np.uint64(0)) << np.uint64(8 * (7 - k))
-    short = np.minimum(left, 8)
-    second = (short << 40) + np.where(left < 8, string_of, 0)
-    order = np.lexsort((second, wide))
-    new = np.concatenate([[False], (wide[order[1:]] != wide[order[:-1]]) | (second[order[1:]] != second[order[:-1]])])
+        part = np.zeros(n, np.uint64)
+        part[: n - k] = text[k:]
+        part[left <= k] = 0
+        out |= part << np.uint64(8 * (7 - k))
+    return out
+
+
+def suffix_order(wide: np.ndarray, string_of: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Places of a text by their suffixes, each up to its string's end; ends are less than bytes, and less for earlier strings. wide: eights() of the text; left: bytes to the string's end."""
+    n, size = len(wide), 7
+    key = wide >> np.uint64(8) << np.uint64(8) | np.minimum(left, size).astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
     rank = np.empty(n, np.int64)
-    rank[order] = _heads(new)
-    size = 8
+    rank[order] = _heads(np.concatenate([[False], key[1:] != key[:-1]]))
+    del key
+    tied = np.arange(n)
     while True:
-        sorted_rank = rank[order]
-        same = sorted_rank[1:] == sorted_rank[:-1]
-        tied = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        own = rank[order[tied]]  # tied places of the order hold whole groups
+        same = own[1:] == own[:-1]
+        keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        tied, own = tied[keep], own[keep]
         if not len(tied):
             return order
         places = order[tied]
-        # a tied suffix is size bytes long at least; where it ends there, its string decides
-        ends = left[places] == size
-        follow = np.where(ends, string_of[places] - n, rank[np.minimum(places + size, n - 1)])
-        again = np.lexsort((follow, sorted_rank[tied]))
-        places, follow, own = places[again], follow[again], sorted_rank[tied][again]
+        # suffixes that end within their first bytes are told apart by their strings alone
+        follow = np.where(left[places] <= size, string_of[places], n + rank[np.minimum(places + size, n - 1)])
+        again = np.argsort(own.astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64))
+        places, follow = places[again], follow[again]
         order[tied] = places
-        split = np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])])
-        at = np.flatnonzero(split)
+        at = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])]))
         rank[places] = tied[np.repeat(at, np.diff(np.append(at, len(tied))))]
         size *= 2
 
@@ -170,7 +175,8 @@ class RunLengthIndex:
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.string_of = np.repeat(np.arange(len(strings)), sizes)
         self.left = self.starts[1:][self.string_of] - np.arange(len(self.text))
-        self.order = suffix_order(self.text, self.string_of, self.left)
+        self.wide = eights(self.text, self.left)
+        self.order = suffix_order(self.wide, self.string_of, self.left)
         # what stands before a string's first byte is that string's own end: each a run of its own
         before = np.where(self.order == self.starts[self.string_of[self.order]], -1 - self.string_of[self.order], self.text[self.order - 1].astype(np.int64))
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.zeros(0, np.int64)
@@ -197,11 +203,12 @@ class RunLengthIndex:
         most, out, live = np.minimum(self.left[a], self.left[b]), np.zeros(len(a), np.int64), np.arange(len(a))
         while len(live):
             done = out[live]
-            more = done < most[live]
-            live, done = live[more], done[more]
-            same = self.text[a[live] + done] == self.text[b[live] + done]
-            live = live[same]
-            out[live] += 1
+            differ = self.wide[a[live] + done] ^ self.wide[b[live] + done]
+            same = np.zeros(len(live), np.int64)
+            for k in range(1, 9):
+                same += differ < np.uint64(1 << (64 - 8 * k)) if k < 8 else differ == 0
+            out[live] = np.minimum(done + same, most[live])
+            live = live[(same == 8) & (done + 8 < most[live])]
         return out
 
     def first_documents(self, docs: np.ndarray) -> np.ndarray:
@@ -281,13 +288,9 @@ def _keys(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w, _ in _chunks(batches, chunk_bytes):
-            doc = w.doc_ids[w.doc]
-            order = np.lexsort((doc, w.key))
-            key, doc = w.key[order], doc[order]
-            ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
-            firsts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-            two = doc[firsts] != doc[ends]
-            keys, docs = np.concatenate([key[firsts], key[ends][two]]), np.concatenate([doc[firsts], doc[ends][two]])
+            key, least, most = _spans(w.key, w.doc_ids[w.doc])
+            two = least != most
+            keys, docs = np.concatenate([key, key[two]]), np.concatenate([least, most[two]])
             yield from _send(part, buckets, keys, lambda at, keys=keys, docs=docs: packed(keys[at], docs[at]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +324,10 @@ def _owners(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> Da
         for part, w, _ in _chunks(batches, chunk_bytes):
             if part not in wanted:
                 wanted = {part: _wanted(keys_at, part)}
-            w.take(np.isin(w.key, wanted[part]))
-            doc = w.doc_ids[w.doc]
-            order = np.lexsort((doc, w.digest))
-            one = order[_firsts(w.digest[order])]
-            digest, doc = w.digest[one], doc[one]
-            yield from _send(part, buckets, w.key[one], lambda at, digest=digest, doc=doc: packed(digest[at], doc[at]))
+            w.take(_in(w.key, wanted[part]))
+            digest, doc, _ = _spans(w.digest, w.doc_ids[w.doc])
+            key = _spans(w.digest, w.key)[1]  # a digest has one key
+            yield from _send(part, buckets, key, lambda at, digest=digest, doc=doc: packed(digest[at], doc[at]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, parts, blobs in _by_bucket(batches):
@@ -343,6 +344,23 @@ def _owners(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> Da
     return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, blob binary")
 
 
+def _spans(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the least value of each, the greatest)."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    at = np.flatnonzero(_firsts(keys))
+    if not len(at):
+        return keys, values, values
+    return keys[at], np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+
+
+def _in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among sorted ones."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
 def _firsts(values: np.ndarray) -> np.ndarray:
     """Which of sorted values differ from the one before."""
     return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
@@ -356,7 +374,7 @@ def _strips(docs: DataFrame, owners_at: str, buckets: int, chunk_bytes: int) ->
         for part, w, _ in _chunks(batches, chunk_bytes):
             if part not in wanted:
                 wanted = {part: _wanted(owners_at, part)}
-            w.take(np.isin(w.digest, wanted[part]))
+            w.take(_in(w.digest, wanted[part]))
             _, one = np.unique(w.digest, return_index=True)
             digest, first, size, raw = w.digest[one], w.first[one], w.last[one] + LENGTH - w.first[one], w.raw.tobytes()
 
