@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tests.llm.helpers import ODD, SCHEMA, rows, table
+from tests.llm.helpers import ODD, SCHEMA, components, rows, table
 from wirespark.llm import fingerprints as fp
 from wirespark.llm.queries import op7_edit_walks
 
@@ -94,3 +94,40 @@ def test_near_duplicates(spark):
     assert len(got) == 38
     assert all(got[i] == i - i % 3 for i in range(36))
     assert rows(fp.near_duplicates(docs.limit(0))) == []
+
+
+def test_bands_find_pairs_of_unequal_length():
+    """Every pair that brute force calls near shares a band, with a passage appended, put in or cut, and letters changed."""
+    rng = random.Random(8)
+    asked = 0
+    for n in (24, 60, 150, 400, 3000):
+        for share in (0, 1, 3, 5, 10, 15, 20):
+            texts = []
+            for _ in range(20):
+                t = "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+                more = "".join(rng.choice("abcdefghij klmnop") for _ in range(n * share // 100))
+                at = rng.choice((0, n, rng.randrange(n)))
+                changed = list(t[:at] + more + t[at:])
+                for _ in range(rng.randrange(1 + n // 40)):
+                    changed[rng.randrange(len(changed))] = "z"
+                texts += [t, "".join(changed)]
+            marks = fp.fingerprints(texts)
+            keys = [set(fp.bands(m)) for m in marks]
+            for i in range(0, len(marks), 2):
+                if fp.likeness(marks[i], marks[i + 1]) >= 0.8:
+                    asked += 1
+                    assert keys[i] & keys[i + 1], (n, share)
+    assert asked > 250
+
+
+def test_near_duplicates_of_unequal_length(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        t = "".join(rng.choice("abcdefgh ijk") for _ in range(900))
+        texts += [t, *(t + "".join(rng.choice("abcdefgh ijk") for _ in range(9 * k)) for k in (3, 5, 10, 15, 20))]
+    marks = fp.fingerprints(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if fp.likeness(marks[i], marks[j]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in rows(fp.near_duplicates(docs))}
+    assert got == components(range(len(texts)), links)

@@ -7,8 +7,13 @@ those of least random priority among the 3 n, so texts of like length share near
 characters at the walk's place, or 0 behind the end. The likeness of two fingerprints is the part of equal samples among
 the steps sampled for the longer text where not both are behind their end.
 
-The walks of all texts of a chunk go in step, one vector operation for each step. near_duplicates() bands the samples of
-least priority, pairs within bands, and verifies pairs by the likeness of whole fingerprints.
+The walks of all texts of a chunk go in step, one vector operation for each step. near_duplicates() bands the samples,
+pairs within bands, and verifies pairs by the likeness of whole fingerprints. A length's samples differ from the next
+length's by one step at most, and a step takes the place of the one that it displaces, so that each change touches one
+band. A text has the bands of its own length and, for every greater length at which its likeness can still reach the
+threshold, those that its text has there, behind whose end all samples are 0: a pair meets in the bands of its longer text.
+Likeness counts samples of just these steps, so at a threshold of 0.8 unequal samples are fewer than bands and one band is
+equal throughout, whatever the lengths; only bands with fewer than LEAST_SEEN samples before the end are left out.
 
 Null texts count as empty; two empty texts have likeness 1, an empty and another 0. Null ids come last in descending order; rows
 equal in id follow each other by their texts' hashes. Equal texts have equal fingerprints. An empty table gives an empty
@@ -33,7 +38,10 @@ from wirespark.llm.links import list_components
 SAMPLES, GRAM, PERIOD, SEED = 96, 6, 4096, 7
 CHUNK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
 SHRINK = 128
-BANDS, BAND_STEPS = 16, 5
+BAND_STEPS, LEAST_SEEN = 4, 2
+BANDS = SAMPLES // BAND_STEPS
+#: A pair's lengths may differ by this part of the threshold.
+LEAST_SIZE = 0.5
 SCHEMA = "kind string, part long, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -207,19 +215,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def bands(fingerprint: str) -> list[int]:
-    """Keys of the bands of a fingerprint: BANDS groups of the BAND_STEPS sampled steps of least priority."""
-    _, at, values = samples(fingerprint)
-    order = np.argsort(Steps.priority[at])
-    out = []
-    for b in range(BANDS):
-        pick = order[b * BAND_STEPS : (b + 1) * BAND_STEPS]
-        if len(pick) and (values[pick] > 0).any():
-            h = np.full(1, b, np.uint64)
-            for k in sorted(pick.tolist()):
-                h = mix64(h * np.uint64(257) + np.uint64(int(Steps.steps[at[k]]) << 8 | int(values[k])))
-            out.append(int(h[0].view(np.int64)))
-    return out
+class Bands:
+    """The bands of all lengths up to one: `places` in Steps of each version of a band (-1: none), the versions in force from each `start` on, and of the steps in force those that every walk of that many characters lasts for."""
+
+    _known = 0
+    places = np.zeros((0, BAND_STEPS), np.int64)
+    starts = np.zeros(0, np.int64)
+    versions = np.zeros((0, BANDS), np.int64)
+    lasting = np.zeros(0, np.int64)
+
+    @classmethod
+    def upto(cls, size: int) -> None:
+        if size <= cls._known:
+            return
+        cls._known = max(2 * cls._known, size, 1 << 14)
+        Steps.upto(3 * cls._known)
+        held, queue, places, starts, versions = np.full(SAMPLES, -1), [], [np.full(BAND_STEPS, -1)], [0], [[0] * BANDS]
+        for k, (step, prio) in enumerate(zip(Steps.steps.tolist(), Steps.priority.tolist(), strict=True)):
+            slot = k if k < SAMPLES else heapq.heappop(queue)[1]
+            heapq.heappush(queue, (-prio, slot))
+            held[slot] = k
+            band, start = slot // BAND_STEPS, step // 3 + 1
+            if start != starts[-1]:
+                starts.append(start)
+                versions.append(list(versions[-1]))
+            versions[-1][band] = len(places)
+            places.append(np.sort(held[band * BAND_STEPS : (band + 1) * BAND_STEPS]))
+        cls.places, cls.starts, cls.versions = np.array(places), np.array(starts), np.array(versions)
+        # about 2 n steps; less six standard errors and the unevenness of a period's random bits
+        short = 1.95 * cls.starts - 9 * np.sqrt(cls.starts)
+        at = np.append(Steps.steps, np.iinfo(np.int64).max)[cls.places[cls.versions].reshape(len(starts), -1)]
+        cls.lasting = (at < short[:, None]).sum(axis=1)
+
+
+def bands(fingerprint: str, least: float = 0.8) -> list[int]:
+    """Keys of the bands of a fingerprint, for its own length and all greater ones of texts whose likeness to it may be `least`."""
+    n, at, values = samples(fingerprint)
+    if not n:
+        return []
+    top = int(n / (LEAST_SIZE * least))
+    Bands.upto(top)
+    own = np.zeros(len(Steps.steps) + 1, np.uint8)
+    own[at] = values
+    first, stop = np.searchsorted(Bands.starts, [n, top], "right")
+    ids = Bands.versions[first - 1 : stop]
+    some = np.unique(ids)
+    seen = (own[Bands.places[some]] > 0).sum(axis=1)
+    total = seen[np.searchsorted(some, ids)].sum(axis=1)
+    reached = total >= least * Bands.lasting[first - 1 : stop]
+    reached[0] = True
+    asked = np.unique(ids[reached])
+    asked = asked[seen[np.searchsorted(some, asked)] >= LEAST_SEEN]
+    h = asked.astype(np.uint64)
+    for k in range(BAND_STEPS):
+        h = mix64(h * np.uint64(257) + own[Bands.places[asked, k]])
+    return h.view(np.int64).tolist()
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -229,7 +279,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         for batch in slices(batches, "text", CHUNK_BYTES):
             texts = texts_of(batch.column("text")).to_pylist()
             found = fingerprints(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(found), pa.array([bands(f) for f in found], pa.list_(pa.int64()))], ["doc_id", "n_chars", "fingerprint", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(found), pa.array([bands(f, least) for f in found], pa.list_(pa.int64()))], ["doc_id", "n_chars", "fingerprint", "bands"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +291,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     lists = nodes.select(F.explode("bands").alias("value"), "node", "size", F.lit(0.0).alias("score"))
     shared = lists.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").select("value")
     lists = written(lists.join(shared, "value"), "bands")
-    labels = list_components(lists, lambda pairs: pairs.select("a", "b").mapInArrow(verify, "a string, b string"), int(50 * least))
+    labels = list_components(lists, lambda pairs: pairs.select("a", "b").mapInArrow(verify, "a string, b string"), int(100 * LEAST_SIZE * least))
     named = marked.drop("bands").join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     named = written(named, "fingerprint-classes")
     return named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("doc_id", "n_chars", "fingerprint", "class_id")
