@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import ODD, SCHEMA, crc, encode, groups, rows, table
 from wirespark.llm import packing
 from wirespark.llm.queries import op8_min_slack_packing
+from wirespark.llm.tokens import WordEncoder, default_path
 
 
 def check(pieces, docs, lengths_of):
@@ -51,6 +53,15 @@ def test_special_strings_and_unicode_space(spark):
     assert {i: [int.from_bytes(b[k : k + 4], "little") for k in range(0, len(b), 4)] for i, b in got.items()} == dict(enumerate(want))
 
 
+def test_every_latin_letter_inside_a_word():
+    words = [w for c in map(chr, range(0x21, 0x300)) for w in (c, f"{c}li", f"a{c}b", f"q{c}", f"{c}{c}")]
+    words = [w for w in words if not w.isspace() and len(w.split()) == 1]
+    bank, firsts, sizes = WordEncoder(default_path()).of_words(pa.array(words))
+    got = [bank[a : a + n].tolist() for a, n in zip(firsts.tolist(), sizes.tolist(), strict=True)]
+    wrong = [(w, g, e[:-1]) for w, g, e in zip(words, got, encode(words, 1), strict=True) if g != e[:-1]]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("counts, room, best", [({5: 2, 3: 1}, 10, 10), ({7: 3, 4: 1}, 10, 7), ({9: 1}, 5, 0), ({6: 1, 4: 2, 3: 3}, 13, 13)])
 def test_fill_is_optimal(counts, room, best):
     got = packing.fill(counts, room)

@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 from wirespark.llm.common import coded, split_words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Latin letters that are composed, and of which lower case is one character.
-LATIN = "À-ÖØ-öø-įı-ɏ"
+_COMPOSED = re.compile("[À-ÖØ-öø-įı-ɏ]")
+#: Latin letters that are composed, and of which lower case is one of them.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if _COMPOSED.match(c) and _COMPOSED.fullmatch(c.lower()))
 SIMPLE = f"^[!-~{LATIN}]+$"
 #: Fixed value: the tokenizer's split pattern, on lower-case characters of SIMPLE; a line feed ends a word.
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+|\n")
