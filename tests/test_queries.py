@@ -29,6 +29,21 @@ def test_query_equals_sql(spark, data, name):
     assert next(((g, w) for g, w in zip(got, want, strict=True) if g != w), None) is None
 
 
+def test_space_of_whole_texts(spark, tmp_path):
+    runs = ["", " ", "\n", " \t\r\n" * 9, "\u2028", "\u0085", "\u00a0"]
+    texts = [None, *(a + b + c for a in runs for b in ("", "x", "x \n y") for c in runs)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    con.execute(ORACLE_SQL["ws_tests_whole"])
+    names = [c[0] for c in con.description]
+    got = plain(QUERIES["ws_tests_whole"](spark, str(tmp_path)).collect(), names)
+    assert got == sorted(con.fetchall(), key=repr)
+    assert {r[names.index("lead")] for r in got} >= {0, 1, 36} and {r[names.index("trail")] for r in got} >= {0, 1, 36}
+
+
 def test_entry_and_names(spark):
     import __spark_entry__ as entry
 

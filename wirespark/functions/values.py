@@ -32,7 +32,7 @@ def collapse_space(x: Column) -> Column:
 
 
 def only_space(x: Column) -> Column:
-    return x.rlike("^[ \t\r\n]*$")
+    return x.rlike(r"^[ \t\r\n]*\z")
 
 
 def leading_space(x: Column) -> Column:
@@ -40,7 +40,7 @@ def leading_space(x: Column) -> Column:
 
 
 def trailing_space(x: Column) -> Column:
-    return F.length(x) - F.length(F.regexp_replace(x, "[ \t\r\n]+$", ""))
+    return F.length(x) - F.length(F.regexp_replace(x, r"[ \t\r\n]+\z", ""))
 
 
 def chars(x: Column) -> Column:

@@ -192,6 +192,16 @@ def ws_tests(spark, d):
     return table(spark, d, "documents").select("doc_id", V.only_space(F.substring("text", 9, 1)).alias("only"), long(V.leading_space(s)).alias("lead"), long(V.trailing_space(s)).alias("trail"))
 
 
+WHOLE = "regexp_full_match(text, '[ \\t\\r\\n]*') AS only, CAST(length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS lead, CAST(length(text) - length(rtrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS trail"
+
+
+@query(f"SELECT 'documents' AS source, doc_id AS key, CAST(NULL AS BIGINT) AS turn, {WHOLE} FROM documents UNION ALL SELECT 'conversations', conv_id, turn, {WHOLE} FROM conversations")
+def ws_tests_whole(spark, d):
+    tests = lambda x: (V.only_space(x).alias("only"), long(V.leading_space(x)).alias("lead"), long(V.trailing_space(x)).alias("trail"))
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("key"), long(F.lit(None)).alias("turn"), *tests(F.col("text")))
+    return docs.unionByName(table(spark, d, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("key"), "turn", *tests(F.col("text"))))
+
+
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'ns' || (c_custkey % 3) END AS prefix, c_mktsegment AS local FROM customer")
 def qname_split(spark, d):
     name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ns"), F.col("c_custkey") % 3, F.lit(":"))).otherwise(""), F.col("c_mktsegment"))
