@@ -1,5 +1,7 @@
 """Queries against their SQL, in DuckDB, and the odd rows of line dedup and WARC."""
 
+import html
+import html.entities
 import uuid
 
 import duckdb
@@ -44,3 +46,23 @@ def test_warc_files_round_trip(spark):
     text = {r["block"] for r in rows(made) if r["warc_type"] == "conversion"}
     assert "x <b>\ny" in text and "plain" in text
     assert rows(warc.derivatives(warc.responses(pages.limit(0)))) == []
+
+
+def test_warc_decodes_all_references(spark):
+    names = "".join(f"<b>&{n}</b>" for n in html.entities.html5 if n not in ("nbsp", "nbsp;", "NonBreakingSpace;", "Tab;", "NewLine;"))
+    bodies = [names, "&#64;&#x40;&#X41;&#8364;&#128;&#0;&#xD800;&#99999999;x", "&amp;copy; &amp;#64; &amp;amp; &lt;p&gt; &nosuch; & &copyx", "a&nbsp;b&#160;c&#xa0;d&#1601;e&nbsp", "a&#10;&#32;&Tab;b"]
+    pages = spark.createDataFrame([(i, "u", f"<title>{b.replace('<b>', '').replace('</b>', '')}</title><p>{b}</p>") for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    made = rows(warc.derivatives(warc.responses(pages)))
+    text = {r["page_id"]: r["block"] for r in made if r["warc_type"] == "conversion"}
+    title = {r["page_id"]: r["block"].split("title: ")[1].split("\r\noutlinks")[0] for r in made if r["warc_type"] == "metadata"}
+    bare = [b.replace("<b>", "").replace("</b>", "") for b in bodies]
+    assert text[0] == html.unescape(bare[0]).strip(" \n")
+    assert text[1] == title[1] == html.unescape(bare[1]) and text[2] == title[2] == html.unescape(bare[2])
+    assert text[3] == title[3] == "a b c d\u0641e" and text[4] == "a\n\tb" and title[4] == "a b"
+
+
+def test_warc_references_of_pages(spark, data):
+    made = {(r["page_id"], r["warc_type"]): r["block"] for r in rows(QUERIES["op9_warc_references"](spark, data))}
+    six = {(r["page_id"], r["warc_type"]): r["block"] for r in rows(QUERIES["op9_warc_derivatives"](spark, data))}
+    assert made.keys() == six.keys() and any("&copy;" in b for b in six.values())
+    assert not any("&copy;" in b or "&middot;" in b for b in made.values())

@@ -47,6 +47,10 @@ def op8_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), all_references=False)
+
+
+def op9_warc_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
@@ -55,5 +59,5 @@ def op10_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op4_lattice_score, op5_run_length_repeats, op6_rule_cascade, op7_edit_walks, op8_min_slack_packing, op9_warc_derivatives, op10_bottom_k)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mix, op2_site_lines, op3_wavelet_tokens, op4_lattice_score, op5_run_length_repeats, op6_rule_cascade, op7_edit_walks, op8_min_slack_packing, op9_warc_derivatives, op9_warc_references, op10_bottom_k)}
 ORACLE_SQL: dict[str, str] = {"op2_site_lines": line_dedup.SQL, "op9_warc_derivatives": warc.SQL}

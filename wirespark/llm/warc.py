@@ -1,8 +1,10 @@
 """WARC derivatives: a metadata and a plain-text conversion record for every response record.
 
 Both point to their response by WARC-Refers-To and repeat its target, date and payload digest; the metadata record holds
-the response's own HTTP headers, the title and the number of links, the conversion record the page's text. Records are
-built with DataFrame functions, one response at a time: no shuffle. Record ids are digests of what they name, so reruns
+the response's own HTTP headers, the title and the number of links, the conversion record the page's text. All named and
+numeric character references are decoded, once, in text and title (spans of white space they make are then tidied as any
+other; a no-break space becomes a space). Records are built with DataFrame functions and one Arrow function for the
+references, one response at a time: no shuffle. Record ids are digests of what they name, so reruns
 give equal records. write() makes one .warc.gz file a partition, one gzip member a record; read() parses such files.
 
 A null URL or payload counts as empty, and an empty payload gives an empty conversion block. Equal rows give equal
@@ -12,13 +14,16 @@ records. An empty table gives no records. Other columns are carried if named.
 from __future__ import annotations
 
 import gzip
+import html as markup
 import io
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -38,11 +43,30 @@ TITLE = "(?is)<title[^>]*>(.*?)</title"
 LINK = "(?i)<a[ \t\r\n\f][^>]*href="
 
 
-def plain_text(html: Column) -> Column:
-    for pattern, put in TO_TEXT:
-        html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
+NO_BREAK = re.compile(r"&(?:nbsp|#0*160(?![0-9])|#[xX]0*[aA]0(?![0-9a-fA-F]));?")
+
+
+def decoded(text: str) -> str:
+    """text with its character references replaced as HTML has it, each once."""
+    return markup.unescape(NO_BREAK.sub(" ", text))
+
+
+@F.arrow_udf(StringType())
+def _decode(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None or "&" not in t else decoded(t) for t in texts.to_pylist()], pa.string())
+
+
+def _decode_six(html: Column) -> Column:
+    """Only the six references of ENTITIES, as SQL has them."""
     for name, put in ENTITIES:
         html = F.replace(html, F.lit(name), F.lit(put))
+    return html
+
+
+def plain_text(html: Column, decode: Callable[[Column], Column] = _decode) -> Column:
+    for pattern, put in TO_TEXT:
+        html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
+    html = decode(html)
     for pattern, put in TIDY:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
     return F.btrim(html, F.lit(" \n"))
@@ -70,14 +94,16 @@ def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
     return made.withColumn("record_id", _urn(F.lit("response"), F.col("target_uri"), F.col("date"), F.col("payload_digest")))
 
 
-def derivatives(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """(keep..., warc_type, record_id, refers_to, target_uri, source_digest, block_digest, header, block): two rows a response."""
+def derivatives(records: DataFrame, keep: tuple[str, ...] = ("page_id",), all_references: bool = True) -> DataFrame:
+    """(keep..., warc_type, record_id, refers_to, target_uri, source_digest, block_digest, header, block): two rows a response. all_references False: only the six of ENTITIES are decoded, and none in titles, as SQL has it."""
     payload = F.col("payload")
-    title = F.trim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), "[ \t\r\n\f]+", " "))
+    title = F.regexp_extract(payload, TITLE, 1)
+    title = F.trim(F.regexp_replace(_decode(title) if all_references else title, "[ \t\r\n\f]+", " "))
+    text = plain_text(payload, _decode if all_references else _decode_six)
     links = F.regexp_count(payload, F.lit(LINK)).cast("string")
     fields = F.concat(F.regexp_replace("http_headers", F.lit("(?m)^([A-Za-z-]+): "), F.lit("http-header-$1: ")), _lines(("title", title), ("outlinks", links)))
     made = lambda kind, content, block: F.struct(F.lit(kind).alias("warc_type"), F.lit(content).alias("kind"), block.alias("block"))
-    both = F.array(made("metadata", "application/warc-fields", fields), made("conversion", "text/plain; charset=utf-8", plain_text(payload)))
+    both = F.array(made("metadata", "application/warc-fields", fields), made("conversion", "text/plain; charset=utf-8", text))
     base = records.select(*keep, "target_uri", "date", "payload_digest", F.col("record_id").alias("refers_to"), F.explode(both).alias("r"))
     base = base.select(*keep, "target_uri", "date", "payload_digest", "refers_to", "r.*").withColumn("record_id", _urn(F.col("warc_type"), F.col("refers_to"))).withColumn("block_digest", _digest(F.col("block")))
     header = F.concat(
