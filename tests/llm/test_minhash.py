@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -70,3 +71,21 @@ def test_odd_rows_and_one_of_each(spark):
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in rows(left)) == [0, 3, 4, 5, 6, 7, 8, 9]
     assert rows(minhash.near_duplicates(docs.limit(0))) == [] and rows(minhash.deduplicated(docs.limit(0))) == []
+
+
+def test_filter_keeps_a_link_with_an_unlucky_sketch(spark):
+    low = list(range(32))
+    both = [x for x in low if x % 8 in (0, 1, 2)] + list(range(100, 600))  # 12 of the union's 32 least values
+    own = [x for x in low if x % 8 > 2]
+    sets = [sorted(both + own[::2]), sorted(both + own[1::2])]
+    nodes = spark.createDataFrame([(bytes([i]), len(s), s[:32]) for i, s in enumerate(sets)], "node binary, n_shingles long, sketch array<long>")
+    full = spark.createDataFrame([(bytes([i]), s) for i, s in enumerate(sets)], "node binary, set array<long>")
+    pairs = spark.createDataFrame([(b"\0", b"\1")], "a binary, b binary")
+    for percent in (80, 85):
+        assert len(rows(minhash._confirmed(pairs, nodes, full, percent, 32))) == 1
+
+
+def test_filter_tail_is_below_that_of_the_lists():
+    tail = lambda p, t: sum(math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(t))
+    for p in (0.8, 0.85):
+        assert tail(p, minhash.least_overlap(p, 32)) <= minhash.FILTER_TAIL < tail(p, int(32 * minhash.LEAST)) / 100

@@ -2,7 +2,7 @@
 
 A document's set is its distinct word shingles, hashed once to 64 bits; the sketch is the k least hashes. Documents with
 equal sets are one node. Inverted lists of the retained values give overlaps: a node needs at least a part LEAST of its
-sketch in common with a partner (for the similarities meant here a binomial tail far below 1e-9 of chance says so), so
+sketch in common with a partner (a binomial tail of chance says so: 1e-10 at a similarity of 0.85, 2.6e-8 at 0.8), so
 only its rarest values beyond that part are listed, and values that no other node has count as rarest. Pairs from the
 lists are filtered by the union-sketch estimate and confirmed by the exact Jaccard similarity of the full sets.
 
@@ -19,6 +19,7 @@ unless all its ids are null. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from wirespark.llm.links import MARK_WORDS, list_components
 
 CHUNK_BYTES = 8 << 20
 SKETCH, LEAST = 32, 0.375
-#: Standard errors of the union-sketch estimate that a pair may lie below the threshold.
-SLACK = 6.0
+#: The union-sketch filter drops a pair at the threshold with a lesser chance than this.
+FILTER_TAIL = 1e-12
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -101,15 +102,23 @@ def _close(inter: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * inter >= percent * (a + b - inter)
 
 
+def least_overlap(p: float, k: int) -> int:
+    """The most values out of k that a pair of similarity p shares fewer of with a chance of at most FILTER_TAIL: a binomial tail."""
+    below = 0.0
+    for t in range(k):
+        below += math.comb(k, t) * p**t * (1 - p) ** (k - t)
+        if below > FILTER_TAIL:
+            return t
+    return k
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; the union-sketch estimate is asked first."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    p = percent / 100
-    least = (p - SLACK * (p * (1 - p) / k) ** 0.5) * F.size(union)
-    likely = pairs.where(both >= least).select("a", "b", "n_a", "n_b")
+    likely = pairs.where(both * k >= least_overlap(percent / 100, k) * F.size(union)).select("a", "b", "n_a", "n_b")
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("f_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("f_b")), "b")
     inter = F.size(F.array_intersect("f_a", "f_b")).cast("long")
     return full.where(_close(inter, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
