@@ -36,6 +36,14 @@ def test_lines_odd_rows(spark):
     assert rows(line_dedup.drop_boilerplate(docs.limit(0), "source")) == []
 
 
+def test_lines_of_small_hosts(spark):
+    made = [(h, f"foot\nhalf\nown {h} {i}" if i < h // 2 else f"foot\nown {h} {i}") for h in range(1, 9) for i in range(h)]
+    docs = spark.createDataFrame([(i, t, f"host {h}") for i, (h, t) in enumerate(made)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in rows(line_dedup.drop_boilerplate(docs, "source"))}
+    for i, (h, t) in enumerate(made):  # a one-page host keeps its text, and half of a small host's pages are too few
+        assert got[i] == (t if h == 1 else t.replace("foot\n", "")), h
+
+
 def test_warc_files_round_trip(spark):
     pages = spark.createDataFrame([(1, "http://a/é", "<title> T\n t</title><p>x &lt;b&gt;</p><a href=1>y</a>"), (2, None, None), (2, None, ""), (None, "u", "plain")], "page_id long, url string, html string")
     made = warc.derivatives(warc.responses(pages)).repartition(2)
