@@ -60,6 +60,24 @@ def test_chains_and_passages(spark):
         first, _ = brute(docs, n, percent)
         df = spark.createDataFrame([(d["doc_id"], d["text"]) for d in docs], "doc_id long, text string")
         assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(df, n, percent))} == first
+    # lists longer than a block: narrowed, then dealt into blocks that meet two by two
+    assert {r["doc_id"]: r["component_id"] for r in rows(minhash.near_duplicates(df, 3, 85, block=6))} == first
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    import numpy as np
+    import pyarrow as pa
+    from wirespark.llm.links import Bitmaps, bitmap
+
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 40, 65, 100, 130, 600, 1000, 1500)]
+    sets += [np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 1 << 62, 30).astype(np.uint64)]) for s in sets]
+    bits = Bitmaps(pa.array([bitmap(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())))
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(sets)) for j in range(i)], strict=True))
+    apart = np.array([len(set(sets[i].tolist()) ^ set(sets[j].tolist())) for i, j in zip(a, b, strict=True)])
+    assert bits.within(a, b, apart).all()
+    near = np.maximum(np.array([len(sets[i]) for i in a]), [len(sets[i]) for i in b]) <= 2 * np.minimum([len(sets[i]) for i in a], [len(sets[i]) for i in b])
+    assert not bits.within(a, b, apart // 2)[near & (apart > 300)].any()
 
 
 def test_odd_rows_and_one_of_each(spark):

@@ -7,9 +7,10 @@ only its rarest values beyond that part are listed, and values that no other nod
 lists are filtered by the union-sketch estimate and confirmed by the exact Jaccard similarity of the full sets.
 
 Lists are not paired out. First every node of a list meets its most central node; the links found merge nodes into
-components. For the nodes of hot lists with several components the rarest shingles of the full sets make narrower lists; bitmaps
-of the full sets then rule out most pairs across components before they leave the join. No partner is capped: what is
-skipped is already connected. Hot lists are joined by key, which adaptive execution splits; equal texts were merged.
+components. The nodes of lists that still hold several components are then compared by bitmaps of their full sets, in
+blocks of bounded size, and only pairs that the bitmaps allow leave a block: first a few for each node, then, when what
+they link is merged, all. For the nodes of lists longer than a block the rarest shingles of the full sets make narrower
+lists first. No partner is capped: what is skipped is already connected. Equal texts were merged.
 
 Shingles: n words, lower-cased in ASCII only; a text with fewer words is one shingle; a text without words (null, empty,
 blank) has an empty set and no links. Rows equal in id stand for themselves; a null id never is a component's smallest
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import coded, discard, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
-from wirespark.llm.links import MARK_WORDS, list_components
+from wirespark.llm.common import BROADCAST_ROWS, coded, discard, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
+from wirespark.llm.links import BLOCK, bitmap, list_components
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SKETCH, LEAST = 32, 0.375
 #: The union-sketch filter drops a pair at the threshold with a lesser chance than this.
 FILTER_TAIL = 1e-12
@@ -79,20 +80,13 @@ def sketches(docs: DataFrame, n: int, k: int = SKETCH) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, row long, n_shingles long, node binary, sketch array<long>")
 
 
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    """A bit for each hash, in 64 * MARK_WORDS bits."""
-    bits = np.zeros(64 * MARK_WORDS, np.uint8)
-    bits[(hashes >> np.uint64(7)) % np.uint64(64 * MARK_WORDS)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def _full_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     """(node, set, bits) of the rows that stand for nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
             sets = shingle_sets(texts_of(batch.column("text")), n)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _arrays(sets), _arrays([_bitmap(s).view(np.uint64) for s in sets])], ["node", "set", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _arrays(sets), _arrays([bitmap(s) for s in sets])], ["node", "set", "bits"])
 
     rows = docs.select("text", row_hash("doc_id", "text").alias("row")).join(reps, "row").select("node", "text")
     return rows.mapInArrow(run, "node binary, set array<long>, bits array<long>").dropDuplicates(["node"])
@@ -114,16 +108,25 @@ def least_overlap(p: float, k: int) -> int:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; the union-sketch estimate is asked first."""
+    pairs = written(pairs, "pairs")
+    nodes = _named_in(nodes, pairs)
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
+    asked = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("s_a", "s_b"), union))
-    likely = pairs.where(both * k >= least_overlap(percent / 100, k) * F.size(union)).select("a", "b", "n_a", "n_b")
+    likely = written(asked.where(both * k >= least_overlap(percent / 100, k) * F.size(union)).select("a", "b", "n_a", "n_b"), "likely-pairs")
+    sets = _named_in(sets, likely)
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("f_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("f_b")), "b")
     inter = F.size(F.array_intersect("f_a", "f_b")).cast("long")
     return full.where(_close(inter, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
+def _named_in(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table whose nodes are in pairs (written): the others needn't be shuffled."""
+    n = pairs.count()
+    return table.join(lookup(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n), "node", "left_semi") if 2 * n <= BROADCAST_ROWS else table
+
+
 def _rarest(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Lists (value, node, label, size) of the nodes' rarest shingles that are not one component's: a partner shares percent of a node's whole set, so it shares one of the rarest others plus one."""
     posts = own.join(sets, "node").select("node", "label", "size", F.explode("set").alias("value"))
@@ -136,7 +139,7 @@ def _rarest(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return listed.where("lo <> hi").select("value", "node", "label", "size")
 
 
-def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k: int = SKETCH) -> DataFrame:
+def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
     """(node, label) for the nodes that have links; found: written sketches of docs."""
     whole = found.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "row", "n_shingles", "sketch")).alias("r"))
     full = written(whole.select("node", "r.row", "r.n_shingles", "r.sketch"), "all-nodes")
@@ -152,22 +155,24 @@ def node_components(docs: DataFrame, found: DataFrame, n: int, percent: int, k:
     # of m values, m - c are unshared and rarest; the first m - kept + 1 are listed
     lists = shared.join(alive, "node").withColumn("r", rank + F.col("m") - F.col("c")).where(F.col("r") <= F.col("m") - F.col("kept") + 1)
     lists = written(lists.select("value", "node", F.col("n_shingles").alias("size"), (F.col("central") / F.col("m")).alias("score")), "lists")
-    names = lists.select("node").distinct()
-    nodes = written(full.join(names, "node", "left_semi"), "nodes")
+    discard(shared)
+    nodes = written(full.join(lists.select("node").distinct(), "node", "left_semi"), "nodes")
+    discard(full)
     sets = written(_full_sets(docs, lookup(nodes.select("node", "row"), nodes.count()), n), "full-sets")
-    labels = list_components(lists, lambda pairs: _confirmed(pairs, nodes, sets, percent, k), percent, lambda own: _rarest(own, sets, percent), sets.select("node", "bits"))
-    for t in (full, shared, lists, sets, nodes):
+    labels = list_components(lists, lambda pairs: _confirmed(pairs, nodes, sets, percent, k), percent, sets.select("node", "bits"), lambda own: _rarest(own, sets, percent), block)
+    for t in (lists, sets, nodes):
         discard(t)
     return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = SKETCH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, row for every row of docs (doc_id, text); percent: least similarity."""
     found = written(sketches(docs, n, k), "sketches")
-    labels = node_components(docs, found, n, percent, k)
+    labels = node_components(docs, found, n, percent, k, block)
     slim = found.select("doc_id", "row", "n_shingles", "node")
     named = written(slim.where("n_shingles > 0").join(labels, "node", "left").select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("label")), "named")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # of its own, so that the join can split a large component's rows
+    least = written(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least-ids")
     out = named.join(least, "label").select("doc_id", "n_shingles", "component_id", "row", "label")
     empty = slim.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", F.lit(None).cast("binary").alias("label"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
