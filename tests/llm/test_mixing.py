@@ -59,3 +59,36 @@ def test_weights_change_inclusion(spark):
     heavy, light = (sum(r["taken"] for r in got if r["doc_id"] % 2 == k) for k in (0, 1))
     assert heavy + light == pytest.approx(0.4 * 12000, abs=3)
     assert 2.4 < heavy / light < 3.7
+
+
+def test_rows_are_the_front_of_the_pareto_order(spark):
+    """Which rows are taken, against the method done one by one: expected copies by size, certain copies, then random odds over inclusion odds."""
+    from pyspark.sql import functions as F
+
+    from wirespark.llm.common import row_hash
+
+    docs = spark.range(600).selectExpr("id as doc_id", "repeat('w ', cast(1 + id * id % 997 as int)) as text", "concat('s', id % 2) as source")
+    got = {r["doc_id"]: r for r in rows(mixing.mix(docs, share=0.7))}
+    u = {r["doc_id"]: ((r["h"] % (1 << 64) >> 11) + 0.5) / 2**53 for r in rows(docs.select("doc_id", row_hash("doc_id", "text", F.lit(20)).alias("h")))}
+    for s in (0, 1):
+        own = [d for d in got if d % 2 == s]
+        size, target = {d: got[d]["size"] for d in own}, got[s]["target"]
+        weight = {d: 2 ** (round(math.log2(size[d] ** 0.25) * 8) / 8) for d in own}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(size[d] * min(2, c * weight[d]) for d in own) < target else (low, c)
+        rate = {d: min(2, low * weight[d]) for d in own}
+        assert len({round(rate[d], 6) for d in own}) > 10  # inclusion odds differ within a source
+        lack = target - sum(size[d] * int(rate[d] + 1e-9) for d in own)
+        p = {d: rate[d] - int(rate[d] + 1e-9) for d in own}
+        order = sorted((u[d] / (1 - u[d])) * (1 - p[d]) / p[d] for d in own if p[d] > 1e-9)
+        q = {d: (u[d] / (1 - u[d])) * (1 - p[d]) / p[d] for d in own if p[d] > 1e-9}
+        front, taken = set(), 0
+        for d in sorted(q, key=q.get):
+            if abs(taken + size[d] - lack) >= abs(taken - lack):
+                break
+            front.add(d)
+            taken += size[d]
+        assert len(order) > 100
+        assert [got[d]["taken"] for d in own] == [size[d] * (int(rate[d] + 1e-9) + (d in front)) for d in own]

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source is to be taken target / size of source times on average (times its own weight, if a weight
-column is given). The whole part of that are certain copies. For the rest the documents of a source are ranked by
-random odds over inclusion odds, Q = (U / (1 - U)) / (p / (1 - p)), and the sample is the front of that order whose
-words come nearest to what the target still lacks: the sample has a fixed size, in words. U is a hash of the row, so
-reruns agree; rows equal in id and text have equal U and are drawn together.
+Within a source the expected copies of a document are in proportion to its weight: a column, or by default a power of its
+size (WEIGHT_POWER), up to the most copies allowed; what these can't take goes to the others, so that the source's expected words
+are its target. The whole part of a document's expected copies are certain copies. For the rest, its inclusion odds, the
+documents of a source are ranked by random odds over inclusion odds, Q = (U / (1 - U)) / (p / (1 - p)), and the sample is
+the front of that order whose words come nearest to what the target still lacks: the sample has a fixed size, in words.
+U is a hash of the row, so reruns agree; rows equal in id and text have equal U and are drawn together. Weights count by
+class, GRID classes to a doubling.
 
 The place where the front ends is found digit by digit of the rank (256 sums a source and level), so no source, however
 hot, is sorted in one task; only the last cell, a 2^-24 part of a source, is ordered row by row.
@@ -22,6 +24,8 @@ from wirespark.llm.common import WORD, discard, lookup, row_hash, written
 
 BITS, DIGIT, LEVELS = 48, 8, 3
 KEYS = ("_none", "_src")
+#: Expected copies grow with this power of the size; classes of weights to a doubling.
+WEIGHT_POWER, GRID = 0.25, 8
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -57,15 +61,32 @@ def shares(sources: DataFrame, weights: tuple[float, ...], share: float, most: f
 
 def _keyed(docs: DataFrame, *columns: Column, weight_col: str | None, seed: int) -> DataFrame:
     """The columns, and what a row's place in the mix depends on."""
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*columns, F.col("doc_id").alias("_doc_id"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_src"), size.alias("_size"), row_hash("doc_id", "text", F.lit(seed)).alias("_h"), weight.alias("_w"))
+    weight = F.pow(size, F.lit(WEIGHT_POWER)) if weight_col is None else F.col(weight_col).cast("double")
+    # null: a weight of none, and no size
+    weight = F.when((weight > 0) & ~F.isnan(weight), F.round(F.log2(F.least(weight, F.lit(1e300))) * GRID)).cast("long")
+    return docs.select(*columns, F.col("doc_id").alias("_doc_id"), F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_src"), size.alias("_size"), row_hash("doc_id", "text", F.lit(seed)).alias("_h"), weight.alias("_class"))
+
+
+def _weight() -> Column:
+    return F.pow(F.lit(2.0), F.col("_class") / GRID)
+
+
+def _scales(cells: DataFrame, most: float) -> DataFrame:
+    """(keys, _scale) from the sizes (_s) of sources' classes of weights: the factor by which weights give expected copies, at most floor(most) of each, whose words are the source's target. The heaviest classes are those at the limit."""
+    down, top = Window.partitionBy(*KEYS).orderBy(F.col("_class").desc()), float(int(most))
+    full = F.coalesce(F.sum("_s").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * F.lit(top)
+    rest = F.sum(F.col("_s") * _weight()).over(down.rowsBetween(0, Window.unboundedFollowing))
+    scale = cells.where("_class is not null").withColumn("_scale", F.when(rest > 0, (F.col("target") - full) / rest))
+    return scale.where(F.col("_scale") * _weight() <= F.lit(top * (1 + 1e-12))).groupBy(*KEYS).agg(F.max("_scale").alias("_scale"))
 
 
 def _ordered(rows: DataFrame, most: float) -> DataFrame:
-    """rows (keyed, with their source's target) with _k certain copies and _key, the rank among those for the rest (null: there is none)."""
-    rate = F.when(F.col("_ws") > 0, F.col("target") / F.col("_ws") * F.col("_w")).otherwise(0.0)
-    rows = rows.withColumn("_rate", F.least(F.round(rate, 12), F.lit(float(int(most))))).withColumn("_k", F.floor("_rate"))
+    """rows (keyed, with their source's _scale; null: all are at the limit) with _k certain copies and _key, the rank among those for the rest (null: there is none)."""
+    top = F.lit(float(int(most)))
+    rate = F.coalesce(F.least(F.round(F.coalesce(F.col("_scale") * _weight(), top), 12), top), F.lit(0.0))
+    rate = F.when(F.col("_class").isNull() | (rate < 0), 0.0).otherwise(rate)
+    rows = rows.withColumn("_rate", rate).withColumn("_k", F.floor("_rate"))
     u = (F.shiftrightunsigned("_h", 11).cast("double") + 0.5) * F.lit(2.0**-53)
     p = F.col("_rate") - F.col("_k")
     q = (u / (1 - u)) * ((1 - p) / p)
@@ -78,22 +99,24 @@ def _place() -> Column:
 
 def _taken(rows: DataFrame) -> DataFrame:
     """Ordered rows with _end, the last place that is taken, given their copies."""
-    return rows.withColumn("copies", F.col("_k") + F.coalesce((_place() <= F.col("_end")).cast("long"), F.lit(0)))
+    return rows.withColumn("copies", F.col("_k") + F.coalesce((F.col("_key").isNotNull() & (_place() <= F.col("_end"))).cast("long"), F.lit(0)))
 
 
 def _plan(slim: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame, int]:
     """(one row a source with target and _end, written; the ordered slim rows, written; number of sources)."""
-    sources = slim.groupBy(*KEYS).agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_w")).alias("_ws"))
-    targets, n = shares(sources, weights, share, most)
+    cells = written(slim.groupBy(*KEYS, "_class").agg(F.sum("_size").alias("_s")), "mix-classes")
+    targets, n = shares(cells.groupBy(*KEYS).agg(F.sum("_s").alias("source_size")), weights, share, most)
+    targets = targets.join(_scales(cells.join(lookup(targets, n), list(KEYS)), most), list(KEYS), "left")
+    targets = written(targets.select(*KEYS, "source_size", "target", "_scale"), "mix-targets")
     rows = written(_ordered(slim.join(lookup(targets, n), list(KEYS)), most), "mix-rows")
-    plan = targets.select(*KEYS, "source_size", "_ws", "target").join(_ends(rows), list(KEYS), "left")
+    plan = targets.join(_ends(rows), list(KEYS), "left")
     return written(plan, "mix-plan"), rows, n
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, weight_col: str | None = None, seed: int = 20) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies of every row of docs (doc_id, text, source).
 
-    weight_col: relative expected copies of a document within its source (null or negative: 0), else all alike. No
+    weight_col: relative expected copies of a document within its source (null, not a number or not positive: 0), else by size. No
     document is taken more than `most` times (whole copies, so floor(most)).
     """
     slim = written(_keyed(docs, weight_col=weight_col, seed=seed), "mix-sizes")
