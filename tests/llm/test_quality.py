@@ -46,6 +46,35 @@ def test_order_changes_cost_only(order):
     assert (quality.passes(quality.Texts(texts), quality.RULES[::order]) == one).all()
 
 
-def test_order_by_rejections_per_cost():
-    found = [("few_words", 1.0, 10, 100), ("symbols", 0.1, 10, 100), ("shouting", 5.0, 90, 100)]
-    assert [r.name for r in quality.ordered(quality.RULES, found)][:3] == ["symbols", "shouting", "few_words"]
+def test_order_by_rejections_per_cost_of_what_is_left():
+    import time
+
+    import pyarrow as pa
+
+    def rule(name, rejects, seconds):
+        def run(t):
+            time.sleep(seconds)
+            return rejects(t.n_words)
+
+        return quality.Rule(name, run)
+
+    texts = quality.Texts(pa.array(["w " * n for n in range(1, 101)], pa.large_string()))
+    texts.rows().n_words  # so that all three cost what they sleep
+    # b rejects most, but after a little more than a; c rejects what neither does
+    rules = rule("b", lambda n: n <= 60, 0.05), rule("c", lambda n: n > 80, 0.02), rule("a", lambda n: n <= 50, 0.005)
+    found = quality.steps(texts, rules)
+    assert [(name, rejected, left) for _, name, _, rejected, left in found] == [("a", 50, 100), ("c", 20, 50), ("b", 10, 30)]
+    assert [r.name for r in quality.ordered(rules, found)] == ["a", "c", "b"]
+
+
+def test_cascade_asks_only_what_is_left(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    asked = []
+    compute = quality.MEASURES["n_symbols"]
+    monkeypatch.setitem(quality.MEASURES, "n_symbols", (lambda t, rows: asked.append(rows.tolist()) or compute[0](t, rows), compute[1]))
+    texts = quality.Texts(pa.array(["a", "b " * 60, "c # " * 60, ""], pa.large_string()))
+    assert quality.passes(texts, (quality.RULES[0], quality.RULES[2])).tolist() == [False, True, False, False]
+    assert asked == [[1, 2]]
+    assert texts.measure("n_symbols", np.arange(4)).tolist() == [0, 0, 60, 0] and asked == [[1, 2], [0, 3]]

@@ -1,8 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-A document is kept if no rule rejects it. Rules are independent, so their order changes only the cost: each rule's
-seconds and rejections are estimated on a bounded sample, and rules run by rejections per second, the best first, each
-only on the documents that the rules before it let through. The verdict doesn't depend on the order, so reruns agree.
+A document is kept if no rule rejects it. Rules are independent, so their order changes only the cost. It is found on a
+bounded sample, step by step: of the rules left, each is run on the sample's texts that the rules chosen so far let
+through, with what those have computed already at hand, and the one with the most rejections per second comes next. In
+the cascade each rule sees only the documents that the rules before it let through, and computes only what is not yet
+known of them. Measures that are asked for of all rows are filled in afterwards. The verdict doesn't depend on the order,
+so reruns agree.
 
 Null texts count as empty. Empty texts have no words and fail the rule on few words. Repeated rows and ties get one
 verdict each; other columns pass through.
@@ -24,88 +27,118 @@ from pyspark.sql import types as T
 from wirespark.llm.common import coded, per_text, row_hash, slices, split_words, texts_of
 
 SYMBOLS = b"#*$%&|<>"
-CHUNK_BYTES = 16 << 20
-SAMPLE_ROWS = 1000
+CHUNK_BYTES = 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 32 << 20
 BLANK = " \t\n\v\f\r"
 
 
 class Texts:
-    """A batch of texts whose measures are computed when first asked for."""
+    """A batch of texts. What several measures need is made once for the batch, a measure for each row when first asked for."""
 
     def __init__(self, texts: pa.Array):
-        self.texts, self._got = texts, {}
+        self.texts, self._made, self._known = texts, {}, {}
 
     def __len__(self) -> int:
         return len(self.texts)
 
-    def take(self, rows: np.ndarray) -> Texts:
-        """The batch of these rows, with the measures that exist already."""
-        other = Texts(self.texts.take(pa.array(rows)))
-        other._got = {k: v[rows] for k, v in self._got.items() if isinstance(v, np.ndarray)}
+    def copy(self) -> Texts:
+        other = Texts(self.texts)
+        other._made, other._known = dict(self._made), {k: (v.copy(), have.copy()) for k, (v, have) in self._known.items()}
         return other
 
-    def _once(self, name: str, make: Callable[[], object]):
-        if name not in self._got:
-            self._got[name] = make()
-        return self._got[name]
+    def made(self, make: Callable[[pa.Array], object]):
+        if make not in self._made:
+            self._made[make] = make(self)
+        return self._made[make]
 
-    def _words(self):
-        return self._once("_words", lambda: split_words(self.texts))
+    def measure(self, name: str, rows: np.ndarray) -> np.ndarray:
+        compute, kind = MEASURES[name]
+        values, have = self._known.setdefault(name, (np.zeros(len(self), kind), np.zeros(len(self), bool)))
+        if len(lacking := rows[~have[rows]]):
+            values[lacking], have[lacking] = compute(self, lacking), True
+        return values[rows]
 
-    def _lines(self):
-        return self._once("_lines", lambda: [[x for x in s.split("\n") if x.strip(BLANK)] for s in self.texts.to_pylist()])
+    def rows(self, rows: np.ndarray | None = None) -> Rows:
+        return Rows(self, np.arange(len(self)) if rows is None else rows)
 
-    @property
-    def n_words(self) -> np.ndarray:
-        return self._once("n_words", lambda: np.diff(self._words()[1]))
 
-    @property
-    def word_chars(self) -> np.ndarray:
-        def make():
-            words, at = self._words()
-            return per_text(np.asarray(pc.utf8_length(words)).astype(np.int64), at)
+class Rows:
+    """Some rows of a batch, as rules see them: each measure is an attribute, an array with a value a row."""
 
-        return self._once("word_chars", make)
+    def __init__(self, texts: Texts, which: np.ndarray):
+        self._texts, self._which = texts, which
+
+    def __len__(self) -> int:
+        return len(self._which)
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        if name not in MEASURES:
+            raise AttributeError(name)
+        return self._texts.measure(name, self._which)
+
+
+def _words(t: Texts) -> tuple[pa.Array, np.ndarray]:
+    return split_words(t.texts)
+
+
+def _codes(t: Texts) -> np.ndarray:
+    return coded(t.made(_words)[0])[0]
+
+
+def _strings(t: Texts, rows: np.ndarray) -> list[str]:
+    return t.texts.take(pa.array(rows)).to_pylist()
+
+
+def _lines(text: str) -> list[str]:
+    """Lines with a word."""
+    return [x for x in text.split("\n") if x.strip(BLANK)]
 
-    @property
-    def n_symbols(self) -> np.ndarray:
-        def make():
-            return np.array([len(b) - len(b.translate(None, SYMBOLS)) for b in map(str.encode, self.texts.to_pylist())], np.int64)
 
-        return self._once("n_symbols", make)
+def _n_words(t: Texts, rows: np.ndarray) -> np.ndarray:
+    return np.diff(t.made(_words)[1])[rows]
 
-    @property
-    def dup_line_share(self) -> np.ndarray:
-        """Characters of lines with a word that are in lines equal to an earlier one."""
 
-        def share(lines: list[str]) -> float:
-            return 1 - sum(map(len, set(lines))) / sum(map(len, lines)) if lines else 0.0
+def _word_lengths(t: Texts) -> np.ndarray:
+    words, at = t.made(_words)
+    return per_text(np.asarray(pc.utf8_length(words)).astype(np.int64), at)
 
-        return self._once("dup_line_share", lambda: np.array([share(x) for x in self._lines()], float))
 
-    @property
-    def n_dup_lines(self) -> np.ndarray:
-        return self._once("n_dup_lines", lambda: np.array([len(x) - len(set(x)) for x in self._lines()], np.int64))
+def _word_chars(t: Texts, rows: np.ndarray) -> np.ndarray:
+    return t.made(_word_lengths)[rows]
 
-    @property
-    def n_repeat_words(self) -> np.ndarray:
-        def make():
-            words, at = self._words()
-            codes, _ = coded(words)
-            return np.array([repeated(codes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
 
-        return self._once("n_repeat_words", make)
+def _n_symbols(t: Texts, rows: np.ndarray) -> np.ndarray:
+    return np.array([len(b) - len(b.translate(None, SYMBOLS)) for b in map(str.encode, _strings(t, rows))], np.int64)
 
-    @property
-    def upper_share(self) -> np.ndarray:
-        """Upper-case letters among the letters that have a case."""
 
-        def make():
-            upper = np.asarray(pc.count_substring_regex(self.texts, r"\p{Lu}")).astype(np.int64)
-            lower = np.asarray(pc.count_substring_regex(self.texts, r"\p{Ll}")).astype(np.int64)
-            return upper / np.maximum(upper + lower, 1)
+def _dup_line_share(t: Texts, rows: np.ndarray) -> np.ndarray:
+    def share(lines: list[str]) -> float:
+        return 1 - sum(map(len, set(lines))) / sum(map(len, lines)) if lines else 0.0
 
-        return self._once("upper_share", make)
+    return np.array([share(_lines(x)) for x in _strings(t, rows)], float)
+
+
+def _n_dup_lines(t: Texts, rows: np.ndarray) -> np.ndarray:
+    return np.array([len(x) - len(set(x)) for x in map(_lines, _strings(t, rows))], np.int64)
+
+
+def _n_repeat_words(t: Texts, rows: np.ndarray) -> np.ndarray:
+    at, codes = t.made(_words)[1], t.made(_codes)
+    return np.array([repeated(codes[at[i] : at[i + 1]]) for i in rows.tolist()], np.int64)
+
+
+def _upper_share(t: Texts, rows: np.ndarray) -> np.ndarray:
+    texts = t.texts.take(pa.array(rows))
+    upper = np.asarray(pc.count_substring_regex(texts, r"\p{Lu}")).astype(np.int64)
+    lower = np.asarray(pc.count_substring_regex(texts, r"\p{Ll}")).astype(np.int64)
+    return upper / np.maximum(upper + lower, 1)
+
+
+#: dup_line_share: characters of lines with a word that are in lines equal to an earlier one; upper_share: upper-case letters among those that have a case.
+MEASURES: dict[str, tuple[Callable[[Texts, np.ndarray], np.ndarray], type]] = {
+    "n_words": (_n_words, np.int64), "word_chars": (_word_chars, np.int64), "n_symbols": (_n_symbols, np.int64), "dup_line_share": (_dup_line_share, float),
+    "n_dup_lines": (_n_dup_lines, np.int64), "n_repeat_words": (_n_repeat_words, np.int64), "upper_share": (_upper_share, float),
+}
 
 
 def repeated(codes: np.ndarray) -> int:
@@ -129,30 +162,30 @@ class Rule:
     """rejects: from a batch to one boolean a text."""
 
     name: str
-    rejects: Callable[[Texts], np.ndarray]
+    rejects: Callable[[Rows], np.ndarray]
 
 
-def few_words(t: Texts) -> np.ndarray:
+def few_words(t: Rows) -> np.ndarray:
     return t.n_words < 50
 
 
-def repeats_itself(t: Texts) -> np.ndarray:
+def repeats_itself(t: Rows) -> np.ndarray:
     return 100 * t.n_repeat_words > 50 * t.n_words
 
 
-def symbols(t: Texts) -> np.ndarray:
+def symbols(t: Rows) -> np.ndarray:
     return 10 * t.n_symbols > t.n_words
 
 
-def repeated_lines(t: Texts) -> np.ndarray:
+def repeated_lines(t: Rows) -> np.ndarray:
     return t.dup_line_share > 0.4
 
 
-def shouting(t: Texts) -> np.ndarray:
+def shouting(t: Rows) -> np.ndarray:
     return t.upper_share > 0.5
 
 
-def odd_words(t: Texts) -> np.ndarray:
+def odd_words(t: Rows) -> np.ndarray:
     mean = t.word_chars / np.maximum(t.n_words, 1)
     return (mean < 2) | (mean > 20)
 
@@ -162,28 +195,41 @@ RULES = (*BASE_RULES, Rule("symbols", symbols), Rule("repeated_lines", repeated_
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, int, int]]:
-    """(rule, seconds, rejected, texts) on a sample of at most sample_rows rows, spread by a hash of the key."""
+def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", key_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> list[tuple[int, str, float, int, int]]:
+    """(step, rule, seconds, rejected, texts) in the order of the cascade, from a sample of at most sample_rows rows (of SAMPLE_BYTES, if they are long), spread by a hash of the key: what each rule costs and rejects after those before it."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, CHUNK_BYTES):
-            texts, out = texts_of(batch.column(text_col)), []
-            for rule in rules:
-                fresh = Texts(texts)  # no measure of another rule makes this one look cheap
-                began = time.perf_counter()
-                rejected = int(rule.rejects(fresh).sum())
-                out.append((rule.name, time.perf_counter() - began, rejected, len(fresh)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["rule", "seconds", "rejected", "texts"])
+        for batch in slices(batches, text_col, SAMPLE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*steps(Texts(texts_of(batch.column(text_col))), rules), strict=True)], ["step", "rule", "seconds", "rejected", "texts"])
+            return
 
     sample = docs.select(text_col, key_col).where(F.pmod(row_hash(key_col), F.lit(16)) == 0).limit(sample_rows).select(text_col)
-    got = sample.mapInArrow(measure, "rule string, seconds double, rejected long, texts long")
-    return [tuple(r) for r in got.groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("texts")).collect()]
-
-
-def ordered(rules: tuple[Rule, ...], found: list[tuple[str, float, int, int]]) -> tuple[Rule, ...]:
-    """Rules by expected rejections per second, best first; unknown ones keep their place at the end."""
-    worth = {name: (rejected / texts) / max(seconds / texts, 1e-9) for name, seconds, rejected, texts in found if texts}
-    return tuple(sorted(rules, key=lambda r: -worth.get(r.name, -1.0)))
+    got = sample.coalesce(1).mapInArrow(measure, "step long, rule string, seconds double, rejected long, texts long")
+    return [tuple(r) for r in got.orderBy("step").collect()]
+
+
+def steps(texts: Texts, rules: tuple[Rule, ...]) -> list[tuple[int, str, float, int, int]]:
+    """(step, rule, seconds, rejected, texts): of the rules left, that of the most rejections per second on the texts left."""
+    left, rest, out = np.arange(len(texts)), list(rules), []
+    while rest:
+        tried = []
+        for rule in rest:
+            own = texts.copy()  # what this rule computes doesn't make the next one look cheap
+            began = time.perf_counter()
+            bad = rule.rejects(own.rows(left))
+            seconds = time.perf_counter() - began
+            tried.append((int(bad.sum()) / max(seconds, 1e-9), rule, seconds, bad, own))
+        _, rule, seconds, bad, texts = max(tried, key=lambda t: t[0])
+        out.append((len(out), rule.name, seconds, int(bad.sum()), len(left)))
+        left = left[~bad]
+        rest.remove(rule)
+    return out
+
+
+def ordered(rules: tuple[Rule, ...], found: list[tuple[int, str, float, int, int]]) -> tuple[Rule, ...]:
+    """Rules in the order of the estimates; without a sample they keep their own."""
+    at = {name: step for step, name, *_ in found}
+    return tuple(sorted(rules, key=lambda r: at.get(r.name, len(at))))
 
 
 def passes(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
@@ -192,15 +238,13 @@ def passes(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
     for rule in rules:
         if not len(left):
             return ok
-        good = ~rule.rejects(texts)
-        if not good.all():
-            left, texts = left[good], texts.take(np.flatnonzero(good))
+        left = left[~rule.rejects(texts.rows(left))]
     ok[left] = True
     return ok
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", key_col: str = "doc_id", measures: tuple[str, ...] = (), verdict: str = "kept") -> DataFrame:
-    """docs with the verdict, and with the measures named (measures of Texts, computed for all rows)."""
+    """docs with the verdict, and with the measures named (of MEASURES, for all rows)."""
     rules = ordered(rules, estimates(docs, rules, text_col, key_col))
     clash = {verdict, *measures} & set(docs.columns)
     if clash:
@@ -210,8 +254,9 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, CHUNK_BYTES):
             texts = Texts(texts_of(batch.column(text_col)))
-            found = [pa.array(getattr(texts, m).astype(np.int64)) for m in measures]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found, pa.array(passes(texts, rules))], names)
+            verdicts, every = pa.array(passes(texts, rules)), np.arange(len(texts))
+            found = [pa.array(texts.measure(m, every).astype(np.int64)) for m in measures]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found, verdicts], names)
 
     schema = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in measures), T.StructField(verdict, T.BooleanType())])
     return docs.mapInArrow(run, schema)
