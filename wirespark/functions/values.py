@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wirespark.functions.bits import integer, nbit, unsigned, width
+from wirespark.functions.bits import bind, nbit, unpack, unsigned, width
+from wirespark.functions.numbers import integer_value
 
 #: Spellings of the boolean with its pattern facet, by code.
 BOOLEAN_FACET = ("false", "0", "true", "1")
@@ -60,10 +63,7 @@ def string(x: Column) -> Column:
 
 def binary(x: Column) -> Column:
     """Length, then octets."""
-    h = F.hex(x)
-    octet = lambda i: F.lpad(F.conv(F.substring(h, i, F.lit(2)), 16, 2), 8, "0")
-    octets = F.when(F.length(h) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(h), F.lit(1)), F.lit(2)), octet), ""))
-    return F.concat(unsigned(F.octet_length(x)), octets)
+    return F.concat(unsigned(F.octet_length(x)), unpack(x))
 
 
 def boolean(x: Column) -> Column:
@@ -76,131 +76,24 @@ def boolean_facet(x: Column) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, BOOLEAN_FACET)), F.trim(x)), F.lit(0)) - 1
 
 
-def parsed_integer(x: Column) -> Column:
-    t = F.trim(x)
-    return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("decimal(38,0)"))
-
-
-def decimal_parts(x: Column) -> Column:
-    """(negative, whole, fraction digits reversed) of a decimal's text; forms 1, .5 and 1.5; null for others."""
-    t = F.trim(x)
-    bare = F.regexp_replace(t, "^[+-]", "")
-    whole, part = F.split_part(bare, F.lit("."), F.lit(1)), F.split_part(bare, F.lit("."), F.lit(2))
-    big = lambda y: F.coalesce(F.nullif(y, F.lit("")), F.lit("0")).cast("long")
-    made = F.struct((t.startswith("-") & ((big(whole) != 0) | (big(part) != 0))).alias("negative"), big(whole).alias("whole"), big(F.reverse(part)).alias("fraction"))
-    return F.when(t.rlike("^[+-]?([0-9]{1,18}|[0-9]{0,18}[.][0-9]{1,18})$"), made)
-
-
-def decimal(x: Column) -> Column:
-    p = decimal_parts(x)
-    return F.concat(F.when(p["negative"], "1").otherwise("0"), unsigned(p["whole"]), unsigned(p["fraction"]))
+def boolean_bit(x: Column) -> Column:
+    """The one bit of a boolean's text."""
+    return F.when(boolean(x), "1").when(~boolean(x), "0")
 
 
-def decimal_text(x: Column) -> Column:
-    """Canonical text: always a point, no needless zeros, no minus zero."""
-    p = decimal_parts(x)
-    part = F.regexp_replace(F.split_part(F.regexp_replace(F.trim(x), "^[+-]", ""), F.lit("."), F.lit(2)), "0+$", "")
-    return F.when(p.isNotNull(), F.concat(F.when(p["negative"], "-").otherwise(""), p["whole"].cast("string"), F.lit("."), F.when(part == "", "0").otherwise(part)))
+def parsed_integer(x: Column) -> Column:
+    return integer_value(x)["value"]
 
 
-def float_parts(x: Column) -> Column:
-    """(mantissa, exponent) in canonical form, no trailing zero in the mantissa; special values have exponent -16384."""
-    t = F.trim(x)
-    coefficient, power = F.split_part(F.upper(t), F.lit("E"), F.lit(1)), F.split_part(F.upper(t), F.lit("E"), F.lit(2))
-    whole, part = F.split_part(coefficient, F.lit("."), F.lit(1)), F.split_part(coefficient, F.lit("."), F.lit(2))
-    digits = F.regexp_replace(F.concat(F.regexp_replace(whole, "^[+-]", ""), part), "^0+", "")
-    bare = F.regexp_replace(digits, "0+$", "")
-    m = F.when(bare == "", F.lit(0)).otherwise(bare.try_cast("long") * F.when(t.startswith("-"), -1).otherwise(1))
-    e = F.when(bare == "", F.lit(0)).otherwise(F.coalesce(F.nullif(power, F.lit("")), F.lit("0")).cast("int") - F.length(part) + F.length(digits) - F.length(bare))
-    made = lambda a, b: F.struct(a.cast("long").alias("mantissa"), b.cast("int").alias("exponent"))
-    special = lambda n: made(F.lit(n), F.lit(-16384))
-    number = F.when(t.rlike("^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]{1,5})?$") & (F.length(bare) <= 18), made(m, e))
-    return F.when(t == "INF", special(1)).when(t == "-INF", special(-1)).when(t == "NaN", special(0)).otherwise(number)
-
-
-def float_bits(x: Column) -> Column:
-    p = float_parts(x)
-    return F.concat(integer(p["mantissa"]), integer(p["exponent"]))
-
-
-def float_text(p: Column) -> Column:
-    special = F.when(p["mantissa"] == 1, "INF").when(p["mantissa"] == -1, "-INF").otherwise("NaN")
-    return F.when(p["exponent"] == -16384, special).otherwise(F.concat(p["mantissa"].cast("string"), F.lit("E"), p["exponent"].cast("string")))
-
-
-DATE = r"^(-?[0-9]{4,})-([0-9]{2})-([0-9]{2})"
-TIME = r"([0-9]{2}):([0-9]{2}):([0-9]{2})(?:[.]([0-9]+))?"
-ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})?$"
-#: The kinds of date and time, and where their parts lie in the pattern's groups.
-DATETIMES = {
-    "gYear": (r"^(-?[0-9]{4,})" + ZONE, "y"),
-    "gYearMonth": (r"^(-?[0-9]{4,})-([0-9]{2})" + ZONE, "ym"),
-    "date": (DATE + ZONE, "ymd"),
-    "dateTime": (DATE + "T" + TIME + ZONE, "ymdhisf"),
-    "gMonth": (r"^--([0-9]{2})" + ZONE, "m"),
-    "gMonthDay": (r"^--([0-9]{2})-([0-9]{2})" + ZONE, "md"),
-    "gDay": (r"^---([0-9]{2})" + ZONE, "d"),
-    "time": (r"^" + TIME + ZONE, "hisf"),
-}
+def base64_value(x: Column) -> Column:
+    """The bytes of base64 text in its strict form, else null."""
+    t = F.regexp_replace(x, "[ \t\r\n]", "")
+    return F.when(t.rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.unbase64(t))
 
 
-def datetime_parts(x: Column, kind: str) -> Column:
-    """year, month_day, time, fraction (reversed digits; null: none) and zone (minutes; null: none) as the wire has them; null for invalid text."""
-    pattern, parts = DATETIMES[kind]
-    t = F.trim(x)
-    got = {p: F.regexp_extract(t, pattern, i + 1) for i, p in enumerate(parts)}
-    zone = F.regexp_extract(t, pattern, len(parts) + 1)
-    num = lambda p: F.coalesce(F.nullif(got[p], F.lit("")).cast("long"), F.lit(0)) if p in got else F.lit(0).cast("long")
-    minutes = F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 64 + F.substring(zone, 5, 2).try_cast("int"))
-    fraction = F.nullif(F.reverse(F.regexp_replace(got["f"], "0+$", "")), F.lit("")).cast("long") if "f" in got else F.lit(None).cast("long")
-    made = F.struct(
-        num("y").alias("year"), (num("m") * 32 + num("d")).alias("month_day"), ((num("h") * 64 + num("i")) * 64 + num("s")).alias("time"), fraction.alias("fraction"),
-        F.when(zone == "", F.lit(None).cast("int")).when(zone == "Z", F.lit(0)).otherwise(minutes).alias("zone"),
-    )
-    ok = t.rlike(pattern) & num("m").between(0 if "m" not in got else 1, 12) & num("d").between(0 if "d" not in got else 1, 31) & num("h").between(0, 24) & num("i").between(0, 59) & num("s").between(0, 60)
-    return F.when(ok, made)
-
-
-def datetime(x: Column, kind: str) -> Column:
-    p, parts = datetime_parts(x, kind), DATETIMES[kind][1]
-    out = [integer(p["year"] - 2000)] if "y" in parts else []
-    if "m" in parts or "d" in parts:
-        out.append(nbit(p["month_day"], 9))
-    if "h" in parts:
-        out += [nbit(p["time"], 17), F.when(p["fraction"].isNull(), "0").otherwise(F.concat(F.lit("1"), unsigned(F.coalesce(p["fraction"], F.lit(0)))))]
-    out.append(F.when(p["zone"].isNull(), "0").otherwise(F.concat(F.lit("1"), nbit(F.coalesce(p["zone"], F.lit(0)) + 896, 11))))
-    return F.concat(*out)
-
-
-def days_in_month(year: Column, month: Column) -> Column:
-    m = F.pmod(month - 1, F.lit(12)) + 1
-    y = year + F.floor((month - 1) / 12)
-    leap = (F.pmod(y, F.lit(400)) == 0) | ((F.pmod(y, F.lit(100)) != 0) & (F.pmod(y, F.lit(4)) == 0))
-    return F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-
-
-def quotient(a: Column, low: Column, high: Column) -> Column:
-    """Floor of (a - low) / (high - low)."""
-    return F.floor((a - low) / (high - low))
-
-
-def modulo(a: Column, low: Column, high: Column) -> Column:
-    return F.pmod(a - low, high - low) + low
-
-
-def to_utc(x: Column) -> Column:
-    """A dateTime's text in UTC; hour 24 is hour 0 of the next day; seconds, leap ones too, stay. Without a zone: only hour 24 is resolved."""
-    pattern, _ = DATETIMES["dateTime"]
-    got = [F.regexp_extract(x, pattern, i) for i in range(1, 9)]
-    y, mo, d, h, mi = (g.cast("int") for g in got[:5])
-    zone = got[7]
-    offset = F.when(zone.isin("", "Z"), 0).otherwise(F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")))
-    total = h * 60 + mi - offset
-    day = F.date_add(F.make_date(y, mo, d), F.floor(total / 1440).cast("int"))
-    rest = F.pmod(total, F.lit(1440))
-    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
-    second = F.concat(got[5], F.when(got[6] == "", "").otherwise(F.concat(F.lit("."), got[6])))
-    return F.when(x.rlike(pattern), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), two(F.floor(rest / 60)), F.lit(":"), two(F.pmod(rest, F.lit(60))), F.lit(":"), second, F.when(zone == "", "").otherwise("Z")))
+def base64_length(x: Column) -> Column:
+    """Characters of the base64 text of bytes."""
+    return F.floor((F.octet_length(x) + 2) / 3) * 4
 
 
 def bounded(x: Column, low: int, high: int) -> Column:
@@ -218,31 +111,35 @@ def list_tokens(x: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \t\r\n]+"))
 
 
-def list_of(x: Column, item) -> Column:
-    """Number of items, then each by its codec."""
-    tokens = list_tokens(x)
-    return F.concat(unsigned(F.size(tokens)), F.array_join(F.transform(tokens, item), ""))
+def list_valid(x: Column, item: Callable[[Column], Column]) -> Column:
+    """Whether every token is valid: item gives null for one that isn't."""
+    return F.forall(list_tokens(x), lambda t: item(t).isNotNull())
 
 
-def charset_code(c: Column, charset: str) -> Column:
-    """A character's code in a restricted set, or the escape code and the character."""
-    size = len(charset)
-    bits = size.bit_length()
-    at = F.array_position(F.array(*map(F.lit, charset)), c) if charset else F.lit(0)
-    return F.when(at > 0, nbit(at - 1, bits)).otherwise(F.concat(nbit(F.lit(size), bits), unsigned(F.ascii(c))))
+def list_equal(x: Column, y: Column, item: Callable[[Column], Column]) -> Column:
+    """Whether two lists hold equal items in the same order, as values."""
+    return F.transform(list_tokens(x), item).eqNullSafe(F.transform(list_tokens(y), item))
 
 
-def charset_string(x: Column, charset: str) -> Column:
-    """A string of a restricted set that the table lacks: length + 2, then its characters' codes."""
-    return F.concat(unsigned(F.char_length(x) + 2), F.array_join(F.transform(chars(x), lambda c: charset_code(c, charset)), ""))
+def list_of(x: Column, item: Callable[[Column], Column]) -> Column:
+    """Number of items, then each by its codec."""
+    return bind(list_tokens(x), lambda tokens: F.concat(unsigned(F.size(tokens)), F.array_join(F.transform(tokens, item), "")))
+
+
+def custom_charset(members: str) -> str:
+    """A set of one's own in the order of its codes: by code point."""
+    return "".join(sorted(set(members)))
 
 
-def qname(x: Column) -> Column:
-    """(prefix, local) split at the first colon."""
-    has = F.instr(x, ":") > 0
-    return F.struct(F.when(has, F.split_part(x, F.lit(":"), F.lit(1))).alias("prefix"), F.when(has, F.substring(x, F.instr(x, ":") + 1, F.length(x))).otherwise(x).alias("local"))
+def charset_characters(x: Column, charset: str) -> Column:
+    """The characters of a text by their places in a restricted set, others behind its escape code."""
+    size, bits = len(charset), len(charset).bit_length()
+    codes = F.create_map(*[F.lit(v) for i, c in enumerate(charset) for v in (c, format(i, f"0{bits}b"))]) if charset else None
+    escape = lambda c: F.concat(nbit(F.lit(size), bits), unsigned(F.ascii(c)))
+    code = (lambda c: F.coalesce(F.try_element_at(codes, c), escape(c))) if charset else escape
+    return F.array_join(F.transform(chars(x), code), "")
 
 
-def escape_width(productions: Column, escapes: bool) -> Column:
-    """Width of a first-level event code."""
-    return width(productions + int(escapes))
+def charset_string(x: Column, charset: str) -> Column:
+    """A string of a restricted set that the table lacks: length + 2, then its characters' codes."""
+    return F.concat(unsigned(F.char_length(x) + 2), charset_characters(x, charset))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirespark.functions.bits import nbit, unsigned, width
-from wirespark.functions.values import characters, string
+from wirespark.functions.values import characters, charset_characters, string
 
 
 def value_table(values: DataFrame) -> DataFrame:
@@ -35,11 +35,28 @@ def seeded(values: DataFrame, shared: list[str]) -> DataFrame:
     return values.unionByName(seeds)
 
 
-def value_bits() -> Column:
-    """Bits of a row of value_table."""
+def _hit_bits(miss: Column) -> Column:
     local = F.concat(unsigned(F.lit(0)), nbit(F.col("local_id"), width(F.col("local_size"))))
     other = F.concat(unsigned(F.lit(1)), nbit(F.col("global_id"), width(F.col("global_size"))))
-    return F.when(F.col("hit") == "local", local).when(F.col("hit") == "global", other).otherwise(F.concat(unsigned(F.char_length("value") + 2), characters(F.col("value"))))
+    return F.when(F.col("hit") == "local", local).when(F.col("hit") == "global", other).otherwise(miss)
+
+
+def value_bits(charset: str | None = None) -> Column:
+    """Bits of a row of value_table; charset: a restricted set that spells what the table lacks."""
+    spelled = characters(F.col("value")) if charset is None else charset_characters(F.col("value"), charset)
+    return _hit_bits(F.concat(unsigned(F.char_length("value") + 2), spelled))
+
+
+def extended_table(values: DataFrame, members: list[str]) -> DataFrame:
+    """value_table() with likely values (members) that are told by their place and never stored: hit `member` and local_id, the place; and bits. 3 to 5 are reserved, so other strings' lengths start at 6."""
+    place = F.array_position(F.array(*map(F.lit, members)), F.col("value")) - 1
+    marked = values.withColumn("_place", place)
+    none = F.lit(None).cast("long")
+    own = marked.where("_place >= 0").select("doc_id", "seq", "ctx", "value", F.lit("member").alias("hit"), none.alias("global_size"), none.alias("local_size"), none.alias("global_id"), F.col("_place").cast("long").alias("local_id"))
+    rest = value_table(marked.where("_place < 0 or value is null").drop("_place")).select(*own.columns)
+    member = F.concat(unsigned(F.lit(2)), nbit(F.col("local_id"), (len(members) - 1).bit_length()))
+    literal = F.concat(unsigned(F.char_length("value") + 6), characters(F.col("value")))
+    return own.unionByName(rest).withColumn("bits", F.when(F.col("hit") == "member", member).otherwise(_hit_bits(literal)))
 
 
 def name_table(names: DataFrame, keys: list[str], name: str, given: list[str] = ()) -> DataFrame:
@@ -62,6 +79,22 @@ def uri_bits(uri: str) -> Column:
     return F.when(F.col("known"), nbit(F.col("id") + 1, w)).otherwise(F.concat(nbit(F.lit(0), w), string(F.col(uri))))
 
 
+def qname_table(names: DataFrame, given: list[str]) -> DataFrame:
+    """names (doc_id, seq, uri, name) with the bits of a qualified name: its URI's, then its local name's in the table of that URI."""
+    uris = name_table(names, ["doc_id"], "uri", given).withColumn("uri_bits", uri_bits("uri")).drop("known", "id", "size")
+    return name_table(uris, ["doc_id", "uri"], "name").select("doc_id", "seq", "uri", "name", F.concat("uri_bits", local_name_bits("name")).alias("bits"))
+
+
+def prefix_table(declared: DataFrame) -> DataFrame:
+    """declared (doc_id, seq, uri, prefix) with known, id and size in the URI's prefixes, the bits of the declaration, and those of a name that uses the prefix right after it: none if the URI has no other."""
+    by = ["doc_id", "uri"]
+    rows = name_table(declared, by, "prefix")
+    w = width(F.col("size") + 1)
+    after = F.col("size") + (~F.col("known")).cast("int")
+    bits = F.when(F.col("known"), nbit(F.col("id") + 1, w)).otherwise(F.concat(nbit(F.lit(0), w), string(F.col("prefix"))))
+    return rows.withColumn("bits", bits).withColumn("use_bits", nbit(F.col("id"), width(after)))
+
+
 class BoundedTable:
     """Values of at most max_length characters, capacity of them at a time: a ring whose new entry takes the oldest one's number and its local number's place."""
 

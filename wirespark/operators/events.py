@@ -56,3 +56,34 @@ def ordered_attributes(attributes: Column) -> Column:
     dropped = lambda a: (a["ns"] == xsi) & (a["local"].isin("schemaLocation", "noNamespaceSchemaLocation") | ((a["local"] == "nil") & (F.trim(a["value"]).isin("false", "0"))))
     keyed = F.transform(F.filter(attributes, lambda a: ~dropped(a)), lambda a: F.struct(rank(a).alias("rank"), a["local"].alias("local"), a["ns"].alias("ns"), a["value"].alias("value")))
     return F.array_sort(keyed)
+
+
+def elements(events: DataFrame) -> DataFrame:
+    """(doc_id, start, stop) of each element of an event table: the places of its SE and its EE."""
+    by = Window.partitionBy("doc_id").orderBy("seq")
+    step = F.when(F.col("event") == "SE", 1).when(F.col("event") == "EE", -1).otherwise(0)
+    up = F.sum(step).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    ends = events.select("doc_id", "seq", "event", (up + (F.col("event") == "EE").cast("int")).alias("depth")).where("event in ('SE', 'EE')")
+    stop = F.lead("seq").over(Window.partitionBy("doc_id", "depth").orderBy("seq"))
+    return ends.withColumn("stop", stop).where("event = 'SE'").select("doc_id", F.col("seq").alias("start"), "stop")
+
+
+def in_scope(uses: DataFrame, declared: DataFrame, events: DataFrame, key: str, value: str) -> DataFrame:
+    """uses (doc_id, seq, key) with `value`, what the innermost element around says of the key; declared: (doc_id, seq, key, value), seq the place of the declaring element's SE. Null where none says anything. Serves prefixes, URIs, xml:space and the like."""
+    spans = declared.join(elements(events).withColumnRenamed("start", "seq"), ["doc_id", "seq"]).select("doc_id", F.col("seq").alias("_from"), F.col("stop").alias("_to"), key, value)
+    hit = uses.join(spans, (uses["doc_id"] == spans["doc_id"]) & uses[key].eqNullSafe(spans[key]) & uses["seq"].between(spans["_from"], spans["_to"]), "left")
+    return hit.groupBy(uses["doc_id"], uses["seq"], uses[key]).agg(F.max_by(spans[value], spans["_from"]).alias(value))
+
+
+def coalesced(events: DataFrame, keep: Column | None = None) -> DataFrame:
+    """An event table whose adjacent CH are one, without those of white space alone beside child elements (kept where `keep` holds, as under xml:space): text between a start tag and its end stays as it is."""
+    by = Window.partitionBy("doc_id").orderBy("seq")
+    run = F.sum(F.when((F.col("event") == "CH") & (F.lag("event").over(by) == "CH"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    keep = F.lit(False) if keep is None else keep
+    parts = F.array_sort(F.collect_list(F.when(F.col("event") == "CH", F.struct("seq", F.col("value").alias("t")))))
+    whole = events.withColumn("_run", run).withColumn("_keep", keep).groupBy("doc_id", "_run").agg(F.min("seq").alias("seq"), F.first("event").alias("event"), F.first("local").alias("local"), F.when(F.first("event") == "CH", F.array_join(F.transform(parts, lambda p: p["t"]), "")).otherwise(F.first("value")).alias("value"), F.max("_keep").alias("_keep"))
+    by = Window.partitionBy("doc_id").orderBy("seq")
+    simple = F.lag("event").over(by).isin("SE", "AT", "NS") & F.lead("event").over(by).isin("EE", "CM", "PI", "DT")
+    blank = (F.col("event") == "CH") & F.col("value").rlike(r"^[ \t\r\n]*\z")
+    kept = whole.withColumn("_simple", F.coalesce(simple, F.lit(False)))
+    return kept.where(~blank | (F.col("_simple") & (F.col("value") != "")) | F.col("_keep")).select("doc_id", "seq", "event", "local", "value")

@@ -1,455 +1,40 @@
-"""One document between events or nested rows and bits: what depends on all bits before it, and so is a fold in Python.
-
-Two grammars: strict ones made from a Spark schema (a struct is an element, `_name` fields are its attributes, an array
-repeats its element, a nullable field is optional), and built-in ones that learn from each document.
-"""
+"""Codecs of one document: strict ones straight from rows, and what wire.py, schema.py and machine.py have."""
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import types as T
 
-from wirespark.functions.values import CHARSETS
-from wirespark.operators.dictionary import BoundedTable
-
-COOKIE = b"$EXI"
-XML_NS, XSI_NS = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2001/XMLSchema-instance"
-#: The names that URI tables start with.
-GIVEN = {"": [], XML_NS: ["base", "id", "lang", "space"], XSI_NS: ["nil", "type"]}
-SPECIAL_EXPONENT = -16384
-
-
-class Invalid(ValueError):
-    """Bytes or values that the grammar doesn't allow."""
-
-
-def width(n: int) -> int:
-    return max(0, (n - 1).bit_length()) if n > 1 else 0
-
-
-class BitWriter:
-    """Most significant bit first; byte-aligned: n-bit fields take whole bytes, the least significant first."""
-
-    def __init__(self, byte_aligned: bool = False):
-        self._bytes, self._bits, self._n, self.byte_aligned = bytearray(), 0, 0, byte_aligned
-
-    def put(self, value: int, size: int) -> None:
-        self._bits, self._n = self._bits << size | value, self._n + size
-        if self._n > 1024:
-            rest = self._n % 8
-            self._bytes += (self._bits >> rest).to_bytes(self._n // 8, "big")
-            self._bits, self._n = self._bits & ((1 << rest) - 1), rest
-
-    def nbit(self, value: int, size: int) -> None:
-        if not size:
-            return
-        if value < 0 or value >> size:
-            raise Invalid(f"{value} doesn't fit in {size} bits")
-        if self.byte_aligned:
-            size = (size + 7) // 8 * 8
-            value = int.from_bytes(value.to_bytes(size // 8, "little"), "big")
-        self.put(value, size)
-
-    def align(self) -> None:
-        self.put(0, -self._n % 8)
-
-    def unsigned(self, value: int) -> None:
-        if value < 0:
-            raise Invalid(f"{value} is negative")
-        while value >> 7:
-            self.put(value & 127 | 128, 8)
-            value >>= 7
-        self.put(value, 8)
-
-    def integer(self, value: int) -> None:
-        self.nbit(int(value < 0), 1)
-        self.unsigned(-value - 1 if value < 0 else value)
-
-    def chars(self, text: str) -> None:
-        for c in text:
-            self.unsigned(ord(c))
-
-    def string(self, text: str, more: int = 0) -> None:
-        self.unsigned(len(text) + more)
-        self.chars(text)
-
-    def done(self) -> bytes:
-        self.align()
-        return bytes(self._bytes) + self._bits.to_bytes(self._n // 8, "big")
-
-
-class BitReader:
-    def __init__(self, data: bytes, at: int = 0, byte_aligned: bool = False):
-        self.data, self.at, self.byte_aligned = data, at, byte_aligned
-
-    def _take(self, n: int) -> int:
-        end = self.at + n
-        if end > 8 * len(self.data):
-            raise Invalid("the document ends too early")
-        got = int.from_bytes(self.data[self.at // 8 : (end + 7) // 8], "big") >> (-end % 8) & ((1 << n) - 1)
-        self.at = end
-        return got
-
-    def nbit(self, size: int) -> int:
-        if not size:
-            return 0
-        if not self.byte_aligned:
-            return self._take(size)
-        n = (size + 7) // 8
-        return int.from_bytes(self._take(8 * n).to_bytes(n, "big"), "little")
-
-    def align(self) -> None:
-        self.at += -self.at % 8
-
-    def skip(self, n: int) -> None:
-        """n bytes, from any bit."""
-        self.at += 8 * n
-
-    def unsigned(self) -> int:
-        value = shift = 0
-        while True:
-            b = self._take(8)
-            value |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                return value
-
-    def integer(self) -> int:
-        negative = self.nbit(1)
-        value = self.unsigned()
-        return -value - 1 if negative else value
-
-    def chars(self, n: int) -> str:
-        return "".join(chr(self.unsigned()) for _ in range(n))
-
-    def string(self, more: int = 0) -> str:
-        return self.chars(self.unsigned() - more)
-
-
-class Strings:
-    """The value table of one document, both ways."""
-
-    def __init__(self, capacity: int = -1, max_length: int = -1, local: bool = True, shared: tuple[str, ...] = ()):
-        self.table = BoundedTable(capacity, max_length, local)
-        for s in shared:
-            self.table.add("", s)
-
-    def write(self, out: BitWriter, ctx: str, value: str, charset: str | None = None) -> None:
-        hit, number, size = self.table.find(ctx, value)
-        if hit == "miss":
-            if charset:
-                out.unsigned(len(value) + 2)
-                _write_characters(out, value, charset)
-            else:
-                out.string(value, 2)
-            self.table.add(ctx, value)
-        else:
-            out.unsigned(0 if hit == "local" else 1)
-            out.nbit(number, width(size))
-
-    def read(self, source: BitReader, ctx: str, charset: str | None = None) -> str:
-        n = source.unsigned()
-        if n == 0:
-            part = self.table.parts.get(ctx, [])
-            value = part[source.nbit(width(len(part)))]
-            if value is None:
-                raise Invalid("a string that was dropped from the table")
-            return value
-        if n == 1:
-            return self.table.values[source.nbit(width(len(self.table.values)))][0]
-        value = _read_characters(source, n - 2, charset) if charset else source.chars(n - 2)
-        self.table.add(ctx, value)
-        return value
-
-
-def _float_parts(x: float) -> tuple[int, int]:
-    if x != x:
-        return 0, SPECIAL_EXPONENT
-    if x in (float("inf"), float("-inf")):
-        return (1 if x > 0 else -1), SPECIAL_EXPONENT
-    sign, digits, exponent = decimal.Decimal(repr(x)).as_tuple()
-    m = int("".join(map(str, digits)))
-    while m and m % 10 == 0:
-        m, exponent = m // 10, exponent + 1
-    return (-m if sign else m), exponent if m else 0
-
-
-def _reversed(digits: str) -> int:
-    return int(digits[::-1] or "0")
-
-
-def _write_characters(out: BitWriter, text: str, charset: str) -> None:
-    """Characters by their places in a restricted set, others behind its escape code."""
-    for c in text:
-        at = charset.find(c)
-        out.nbit(at if at >= 0 else len(charset), len(charset).bit_length())
-        if at < 0:
-            out.unsigned(ord(c))
-
-
-def _read_characters(source: BitReader, n: int, charset: str) -> str:
-    out = []
-    for _ in range(n):
-        at = source.nbit(len(charset).bit_length())
-        if at > len(charset):
-            raise Invalid(f"no character {at}")
-        out.append(charset[at] if at < len(charset) else chr(source.unsigned()))
-    return "".join(out)
-
-
-def text_of(kind: T.DataType, value: Any) -> str:
-    """A value's lexical form."""
-    if isinstance(kind, T.BooleanType):
-        return str(value).lower()
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        m, e = _float_parts(value)
-        return {1: "INF", -1: "-INF", 0: "NaN"}[m] if e == SPECIAL_EXPONENT else f"{m}E{e}"
-    if isinstance(kind, T.BinaryType):
-        return bytes(value).hex().upper()
-    if isinstance(kind, T.DecimalType):
-        return format(decimal.Decimal(value), "f")
-    return value.isoformat() if isinstance(kind, (T.DateType, T.TimestampNTZType)) else str(value)
-
-
-def value_of(kind: T.DataType, text: str) -> Any:
-    """The value of a lexical form; what isn't one is refused."""
-    text = text.strip(" \t\r\n")
-    try:
-        if isinstance(kind, T.BooleanType):
-            return {"true": True, "1": True, "false": False, "0": False}[text]
-        if isinstance(kind, T.IntegralType):
-            return int(text)
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            return float(text.replace("INF", "inf"))
-        if isinstance(kind, T.BinaryType):
-            return bytes.fromhex(text)
-        if isinstance(kind, T.DecimalType):
-            return decimal.Decimal(text)
-        if isinstance(kind, T.DateType):
-            return dt.date.fromisoformat(text)
-        if isinstance(kind, T.TimestampNTZType):
-            return dt.datetime.fromisoformat(text)
-    except (KeyError, ValueError, decimal.InvalidOperation) as e:
-        raise Invalid(f"{text!r} is no {kind.simpleString()}") from e
-    raise Invalid(f"no lexical form for {kind.simpleString()}")
-
-
-def _charset(kind: T.DataType) -> str | None:
-    """The restricted set of a type's lexical form."""
-    for kinds, name in (((T.BooleanType,), "boolean"), ((T.IntegralType,), "integer"), ((T.DoubleType, T.FloatType), "double"), ((T.DecimalType,), "decimal"), ((T.BinaryType,), "hex"), ((T.DateType, T.TimestampNTZType), "datetime")):
-        if isinstance(kind, kinds):
-            return CHARSETS[name]
-    return None
-
-
-def write_value(out: BitWriter, strings: Strings, ctx: str, kind: T.DataType, value: Any, meta: dict) -> None:
-    """A typed value by its wire form; meta: enum, min and max, charset, lexical (typed values as text), list (of a simple type)."""
-    if meta.get("list") and isinstance(kind, T.ArrayType):
-        out.unsigned(len(value))
-        for item in value:
-            write_value(out, strings, ctx, kind.elementType, item, {k: v for k, v in meta.items() if k != "list"})
-    elif meta.get("lexical") and _charset(kind):
-        strings.write(out, ctx, text_of(kind, value), _charset(kind))
-    elif "charset" in meta:
-        strings.write(out, ctx, value, meta["charset"])
-    elif "enum" in meta:
-        if value not in meta["enum"]:
-            raise Invalid(f"{value!r} is no member")
-        out.nbit(meta["enum"].index(value), width(len(meta["enum"])))
-    elif isinstance(kind, T.IntegralType) and "min" in meta:
-        if not meta["min"] <= value <= meta["max"]:
-            raise Invalid(f"{value} is out of bounds")
-        out.nbit(value - meta["min"], width(meta["max"] - meta["min"] + 1))
-    elif isinstance(kind, T.BooleanType):
-        out.nbit(int(value), 1)
-    elif isinstance(kind, T.IntegralType):
-        out.integer(value)
-    elif isinstance(kind, (T.DoubleType, T.FloatType)):
-        m, e = _float_parts(value)
-        out.integer(m)
-        out.integer(e)
-    elif isinstance(kind, T.DecimalType):
-        text = format(decimal.Decimal(value), "f")
-        whole, _, part = text.lstrip("-").partition(".")
-        out.nbit(int(text.startswith("-") and bool(decimal.Decimal(value))), 1)
-        out.unsigned(int(whole or "0"))
-        out.unsigned(_reversed(part))
-    elif isinstance(kind, T.BinaryType):
-        out.unsigned(len(value))
-        for b in bytes(value):
-            out.nbit(b, 8)
-    elif isinstance(kind, T.DateType):
-        out.integer(value.year - 2000)
-        out.nbit(value.month * 32 + value.day, 9)
-        out.nbit(0, 1)
-    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        out.integer(value.year - 2000)
-        out.nbit(value.month * 32 + value.day, 9)
-        out.nbit((value.hour * 64 + value.minute) * 64 + value.second, 17)
-        out.nbit(int(value.microsecond > 0), 1)
-        if value.microsecond:
-            out.unsigned(_reversed(f"{value.microsecond:06d}".rstrip("0")))
-        zoned = isinstance(kind, T.TimestampType)
-        out.nbit(int(zoned), 1)
-        if zoned:
-            out.nbit(896, 11)
-    elif isinstance(kind, T.StringType):
-        strings.write(out, ctx, value)
-    else:
-        raise Invalid(f"no wire form for {kind.simpleString()}")
-
-
-def read_value(source: BitReader, strings: Strings, ctx: str, kind: T.DataType, meta: dict) -> Any:
-    if meta.get("list") and isinstance(kind, T.ArrayType):
-        return [read_value(source, strings, ctx, kind.elementType, {k: v for k, v in meta.items() if k != "list"}) for _ in range(source.unsigned())]
-    if meta.get("lexical") and _charset(kind):
-        return value_of(kind, strings.read(source, ctx, _charset(kind)))
-    if "charset" in meta:
-        return strings.read(source, ctx, meta["charset"])
-    if "enum" in meta:
-        i = source.nbit(width(len(meta["enum"])))
-        if i >= len(meta["enum"]):
-            raise Invalid(f"no member {i}")
-        return meta["enum"][i]
-    if isinstance(kind, T.IntegralType):
-        return meta["min"] + source.nbit(width(meta["max"] - meta["min"] + 1)) if "min" in meta else source.integer()
-    if isinstance(kind, T.BooleanType):
-        return bool(source.nbit(1))
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        m, e = source.integer(), source.integer()
-        if e == SPECIAL_EXPONENT:
-            return {1: float("inf"), -1: float("-inf")}.get(m, float("nan"))
-        return float(f"{m}e{e}")
-    if isinstance(kind, T.DecimalType):
-        negative, whole, part = source.nbit(1), source.unsigned(), str(source.unsigned())[::-1]
-        return decimal.Decimal(f"{'-' if negative else ''}{whole}.{part}").quantize(decimal.Decimal(1).scaleb(-kind.scale))
-    if isinstance(kind, T.BinaryType):
-        return bytes(source.nbit(8) for _ in range(source.unsigned()))
-    if isinstance(kind, T.DateType):
-        year, md = source.integer() + 2000, source.nbit(9)
-        if source.nbit(1):
-            source.nbit(11)
-        return dt.date(year, md >> 5, md & 31)
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        year, md, t = source.integer() + 2000, source.nbit(9), source.nbit(17)
-        micro = int(str(source.unsigned())[::-1].ljust(6, "0")[:6]) if source.nbit(1) else 0
-        zone = source.nbit(11) - 896 if source.nbit(1) else 0
-        made = dt.datetime(year, md >> 5, md & 31, t >> 12, t >> 6 & 63, t & 63, micro)
-        made -= dt.timedelta(minutes=(abs(zone) // 64 * 60 + abs(zone) % 64) * (1 if zone >= 0 else -1))
-        return made.replace(tzinfo=dt.timezone.utc) if isinstance(kind, T.TimestampType) else made
-    if isinstance(kind, T.StringType):
-        return strings.read(source, ctx)
-    raise Invalid(f"no wire form for {kind.simpleString()}")
-
+from wirespark.sources.machine import Machine, SchemaLess, clark, read_header, sane, write_header
+from wirespark.sources.schema import OPTIONS, Schema, is_attribute, item_type, many, second_level, third_level, xml_name
+from wirespark.sources.wire import CHARSETS, COOKIE, EXI_NS, GIVEN, XML_NS, XSD_NS, XSI_NS, BitReader, BitWriter, Event, Invalid, Name, Options, Strings, checked, read_value, value_of, width, write_value
 
-@dataclass
-class Options:
-    """What reader and writer agree on; everything else is in the header."""
-
-    strict: bool = False
-    fragment: bool = False
-    byte_aligned: bool = False
-    comments: bool = False
-    pis: bool = False
-    dtd: bool = False
-    self_contained: bool = False
-    max_productions: int = -1
-    max_length: int = -1
-    capacity: int = -1
-    local: bool = True
-    cookie: bool = False
-    with_options: bool = False
-    shared: tuple[str, ...] = field(default=())
-
-    def strings(self) -> Strings:
-        return Strings(self.capacity, self.max_length, self.local, self.shared)
-
-
-def _present(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StructType([])) for n in names])
-
-
-#: The options document.
-OPTIONS = T.StructType(
-    [
-        T.StructField("lesscommon", T.StructType([
-            T.StructField("uncommon", T.StructType([T.StructField("alignment", _present("byte", "pre-compress")), T.StructField("selfContained", T.StructType([])), T.StructField("valueMaxLength", T.LongType(), True, {"unsigned": True}), T.StructField("valuePartitionCapacity", T.LongType(), True, {"unsigned": True})])),
-            T.StructField("preserve", _present("dtd", "prefixes", "lexicalValues", "comments", "pis")),
-            T.StructField("blockSize", T.LongType(), True, {"unsigned": True}),
-        ])),
-        T.StructField("common", T.StructType([T.StructField("compression", T.StructType([])), T.StructField("fragment", T.StructType([])), T.StructField("schemaId", T.StringType())])),
-        T.StructField("strict", T.StructType([])),
-    ]
-)
-
-
-def write_header(out: BitWriter, o: Options) -> None:
-    """Cookie, distinguishing bits, presence of options, version 1, options."""
-    if o.cookie:
-        for b in COOKIE:
-            out.put(b, 8)
-    aligned, out.byte_aligned = out.byte_aligned, False
-    out.nbit(0b10, 2)
-    out.nbit(int(o.with_options), 1)
-    out.nbit(0, 5)
-    if o.with_options:
-        uncommon = {"alignment": {"byte": {}} if o.byte_aligned else None, "selfContained": {} if o.self_contained else None, "valueMaxLength": o.max_length if o.max_length >= 0 else None, "valuePartitionCapacity": o.capacity if o.capacity >= 0 else None}
-        keep = {"dtd": {} if o.dtd else None, "comments": {} if o.comments else None, "pis": {} if o.pis else None}
-        less = {"uncommon": uncommon if any(v is not None for v in uncommon.values()) else None, "preserve": keep if any(v is not None for v in keep.values()) else None}
-        document = {"lesscommon": less if any(v is not None for v in less.values()) else None, "common": {"fragment": {}} if o.fragment else None, "strict": {} if o.strict else None}
-        Strict(OPTIONS, "header").write_body(out, document, Strings())
-    out.byte_aligned = aligned
-    if aligned:
-        out.align()
-
-
-def read_header(data: bytes, o: Options) -> tuple[BitReader, Options]:
-    """A reader at the body, and the options: those given, or those of the header."""
-    cookie = data.startswith(COOKIE)
-    if not cookie and data[:1] == COOKIE[:1]:
-        raise Invalid("a wrong cookie")
-    source = BitReader(data, 32 if cookie else 0)
-    if source.nbit(2) != 0b10:
-        raise Invalid("no distinguishing bits")
-    present = source.nbit(1)
-    if source.nbit(1):
-        raise Invalid("a preview version")
-    version = 0
-    while (part := source.nbit(4)) == 15:
-        version += part
-    if version + part:
-        raise Invalid(f"version {version + part + 1}")
-    if present:
-        d = Strict(OPTIONS, "header").read_body(source, Strings())
-        less, common = d["lesscommon"] or {}, d["common"] or {}
-        uncommon, keep = less.get("uncommon") or {}, less.get("preserve") or {}
-        if common.get("compression") is not None or (uncommon.get("alignment") or {}).get("pre-compress") is not None:
-            raise Invalid("compression isn't supported")
-        if any(keep.get(k) is not None for k in ("prefixes", "lexicalValues")):
-            raise Invalid("an option that isn't supported")
-        limit = lambda k: -1 if uncommon.get(k) is None else uncommon[k]
-        o = Options(d["strict"] is not None, common.get("fragment") is not None, (uncommon.get("alignment") or {}).get("byte") is not None, keep.get("comments") is not None, keep.get("pis") is not None, keep.get("dtd") is not None, uncommon.get("selfContained") is not None, o.max_productions, limit("valueMaxLength"), limit("valuePartitionCapacity"), o.local, cookie, True, o.shared)
-    source.byte_aligned = o.byte_aligned
-    if o.byte_aligned:
-        source.align()
-    return source, o
-
-
-def _many(f: T.StructField) -> bool:
-    """Whether a field is a repeated element; an array marked as a list is one element with a list for its content."""
-    return isinstance(f.dataType, T.ArrayType) and not f.metadata.get("list")
+__all__ = [
+    "CHARSETS", "COOKIE", "EXI_NS", "GIVEN", "OPTIONS", "XML_NS", "XSD_NS", "XSI_NS", "BitReader", "BitWriter", "Event", "Invalid", "Machine", "Name", "Options", "Schema", "SchemaLess", "Strict", "Strings", "checked", "read_header", "read_value", "sane", "second_level",
+    "third_level", "value_of", "width", "write_header", "write_value",
+]
 
 
 class Strict:
-    """Documents of one root element with a schema."""
+    """Strict documents of one root element, straight from and to nested rows: the short way for schemas without namespaces, wildcards, nil and named types; the bits are those of Machine.
+
+    A null array is no elements, and is read as an empty one.
+    """
 
     def __init__(self, schema: T.StructType, root: str):
         self.schema, self.root = schema, root
 
+    @staticmethod
+    def can(schema: T.DataType) -> bool:
+        """Whether a schema is one of these."""
+        if isinstance(schema, T.ArrayType):
+            return Strict.can(schema.elementType)
+        if not isinstance(schema, T.StructType):
+            return True
+        special = {"types", "any", "any_attribute", "mixed", "nillable"}
+        return all(not special & set(f.metadata) and f.name not in ("_VALUE", "_xsi_type") and Strict.can(f.dataType) for f in schema)
+
     def encode(self, row: dict, o: Options | None = None) -> bytes:
         o = o or Options(strict=True)
         out = BitWriter(o.byte_aligned)
@@ -481,7 +66,7 @@ class Strict:
         out = []
         for i in range(at, len(fields)):
             out.append(i)
-            if not (fields[i].nullable or _many(fields[i]) or (again and i == at)):
+            if not (fields[i].nullable or many(fields[i]) or (again and i == at)):
                 return out
         return [*out, len(fields)]
 
@@ -498,24 +83,24 @@ class Strict:
             value = row.get(f.name)
             if value is None:
                 continue
-            many = _many(f)
-            for item in value if many else [value]:
+            several = many(f)
+            for item in value if several else [value]:
+                if item is None:
+                    raise Invalid(f"an item of {f.name} is null, and the field isn't nillable")
                 step(i)
-                self._content(out, strings, f, f.dataType.elementType if many else f.dataType, item)
-                at, again = (i, True) if many else (i + 1, False)
+                self._content(out, strings, f, item_type(f), item)
+                at, again = (i, True) if several else (i + 1, False)
         step(len(fields))
 
     def _content(self, out: BitWriter, strings: Strings, f: T.StructField, kind: T.DataType, item: Any) -> None:
         if isinstance(kind, T.StructType):
             self._write(out, strings, kind, item if isinstance(item, dict) else item.asDict())
-        elif f.metadata.get("unsigned"):
-            out.unsigned(item)
         else:
-            write_value(out, strings, f.name, kind, item, f.metadata)
+            write_value(out, strings, clark(xml_name(f, is_attribute(f))), kind, item, f.metadata)
 
     def _read(self, source: BitReader, strings: Strings, schema: T.StructType) -> dict:
         fields, at, again = self._particles(schema), 0, False
-        row: dict = {f.name: [] if _many(f) else None for f in schema}
+        row: dict = {f.name: [] if many(f) else None for f in schema}
         while True:
             ways = self._next(fields, at, again)
             k = source.nbit(width(len(ways)))
@@ -525,284 +110,13 @@ class Strict:
             if i == len(fields):
                 return row
             f = fields[i]
-            many = _many(f)
-            kind = f.dataType.elementType if many else f.dataType
+            several, kind = many(f), item_type(f)
             if isinstance(kind, T.StructType):
                 value = self._read(source, strings, kind)
             else:
-                value = source.unsigned() if f.metadata.get("unsigned") else read_value(source, strings, f.name, kind, f.metadata)
-            if many:
+                value = read_value(source, strings, clark(xml_name(f, is_attribute(f))), kind, f.metadata)
+            if several:
                 row[f.name].append(value)
             else:
                 row[f.name] = value
-            at, again = (i, True) if many else (i + 1, False)
-
-
-Name = tuple[str, str]  # namespace, local name
-Event = tuple[str, Name | None, str | None]  # SE, AT, CH, EE, CM, PI with name (of a PI its target) and value
-
-
-class _Names:
-    """URI and local name tables of one document."""
-
-    def __init__(self):
-        self.uris = {u: list(v) for u, v in GIVEN.items()}
-
-    def write(self, out: BitWriter, name: Name) -> None:
-        uri, local = name
-        order = list(self.uris)
-        w = width(len(order) + 1)
-        if uri in self.uris:
-            out.nbit(order.index(uri) + 1, w)
-        else:
-            out.nbit(0, w)
-            out.string(uri)
-            self.uris[uri] = []
-        names = self.uris[uri]
-        if local in names:
-            out.unsigned(0)
-            out.nbit(names.index(local), width(len(names)))
-        else:
-            out.string(local, 1)
-            names.append(local)
-
-    def read(self, source: BitReader) -> Name:
-        order = list(self.uris)
-        i = source.nbit(width(len(order) + 1))
-        if i > len(order):
-            raise Invalid("no such URI")
-        uri = order[i - 1] if i else source.string()
-        names = self.uris.setdefault(uri, [])
-        n = source.unsigned()
-        if n:
-            local = source.chars(n - 1)
-            names.append(local)
-            return uri, local
-        k = source.nbit(width(len(names)))
-        if k >= len(names):
-            raise Invalid("no such name")
-        return uri, names[k]
-
-
-class _Grammar:
-    """A built-in grammar: learned productions, the newest with code 0, and the fixed second level behind the escape."""
-
-    def __init__(self, second: list[str], first: list[tuple[str, Name | None]] = ()):
-        self.first, self.second = list(first), second
-
-    def code(self, event: tuple[str, Name | None]) -> int | None:
-        return len(self.first) - 1 - self.first.index(event) if event in self.first else None
-
-    def learn(self, event: tuple[str, Name | None]) -> None:
-        if event not in self.first:
-            self.first.append(event)
-
-
-class SchemaLess:
-    """Documents without a schema: every value a string, grammars learned as the document goes.
-
-    Events beside SE, AT, CH and EE, if their option is on: CM, PI, DT (name; public, system and internal subset joined by
-    NUL), ER (name), SC (right after an SE: the element is byte-aligned with tables of its own, and its bytes' length
-    goes before it, so that a reader can pass over it). max_productions caps what is learned; beyond it the escape stays.
-    """
-
-    def __init__(self, o: Options | None = None):
-        self.o = o or Options()
-        self.third = [k for k, on in (("CM", self.o.comments), ("PI", self.o.pis)) if on]
-        misc = [*["ER"] * self.o.dtd, *["CM/PI"] * bool(self.third)]
-        self.start_second, self.content_second = ["EE", "AT", *["SC"] * self.o.self_contained, "SE", "CH", *misc], ["SE", "CH", *misc]
-
-    def _begin(self) -> None:
-        self.names, self.strings, self.elements, self.ended, self.learned = _Names(), self.o.strings(), {}, False, 0
-
-    def _element(self, name: Name) -> tuple[_Grammar, _Grammar]:
-        """Start-tag and content grammar of a name."""
-        if name not in self.elements:
-            self.elements[name] = (_Grammar(self.start_second), _Grammar(self.content_second, [("EE", None)]))
-        return self.elements[name]
-
-    def _learn(self, at: _Grammar, key: tuple[str, Name | None]) -> None:
-        if key not in at.first and (self.o.max_productions < 0 or self.learned < self.o.max_productions):
-            at.learn(key)
-            self.learned += 1
-
-    def encode(self, events: list[Event]) -> bytes:
-        """Events of a document's root and what surrounds it, without SD and ED."""
-        out = BitWriter(self.o.byte_aligned)
-        write_header(out, self.o)
-        self._begin()
-        self._write(out, events)
-        return out.done()
-
-    def _write(self, out: BitWriter, events: list[Event]) -> None:
-        stack: list[tuple[Name, bool]] = []
-        dropped = {"CM": not self.o.comments, "PI": not self.o.pis, "DT": not self.o.dtd, "ER": not self.o.dtd, "SC": not self.o.self_contained}
-        i = 0
-        while i < len(events):
-            kind, name, value = events[i]
-            i += 1
-            if dropped.get(kind):
-                continue
-            if not stack:
-                self._outside(out, kind)
-                if kind == "SE":
-                    self.names.write(out, name)
-            else:
-                start, content = self._element(stack[-1][0])
-                at = start if stack[-1][1] else content
-                key = (kind, name if kind in ("SE", "AT") else None)
-                code = at.code(key)
-                w = width(len(at.first) + 1)
-                if code is not None:
-                    out.nbit(code, w)
-                else:
-                    out.nbit(len(at.first), w)
-                    second = "CM/PI" if kind in ("CM", "PI") else kind
-                    if second not in at.second:
-                        raise Invalid(f"{kind} isn't allowed here")
-                    out.nbit(at.second.index(second), width(len(at.second)))
-                    if second == "CM/PI":
-                        out.nbit(self.third.index(kind), width(len(self.third)))
-                    elif kind not in ("ER", "SC"):
-                        if kind in ("SE", "AT"):
-                            self.names.write(out, name)
-                        self._learn(at, key)
-            if kind == "SC":
-                j, depth = i, 1
-                while depth:
-                    depth += {"SE": 1, "EE": -1}.get(events[j][0], 0)
-                    j += 1
-                inner = SchemaLess(self.o)
-                inner._begin()
-                part = BitWriter(self.o.byte_aligned)
-                inner._write(part, [("SE", stack[-1][0], None), *events[i:j]])
-                data = part.done()
-                out.align()
-                out.unsigned(len(data))
-                for b in data:
-                    out.put(b, 8)
-                stack.pop()
-                self.ended, i = True, j
-                continue
-            if kind in ("AT", "CH"):
-                self.strings.write(out, _ctx(name if kind == "AT" else stack[-1][0]), value)
-            elif kind == "CM":
-                out.string(value)
-            elif kind == "PI":
-                out.string(name[1])
-                out.string(value)
-            elif kind == "DT":
-                for text in (name[1], *value.split("\0")):
-                    out.string(text)
-            elif kind == "ER":
-                out.string(name[1])
-            self._moved(stack, kind, name)
-        if stack:
-            raise Invalid("the root isn't closed")
-        self._outside(out, "ED")
-
-    def _moved(self, stack: list[tuple[Name, bool]], kind: str, name: Name | None) -> None:
-        """The element stack after an event: (name, still in its start tag)."""
-        if kind not in ("AT", "EE") and stack:
-            stack[-1] = (stack[-1][0], False)
-        if kind == "SE":
-            stack.append((name, True))
-        elif kind == "EE":
-            stack.pop()
-            self.ended = True
-
-    def _ways(self) -> tuple[list[str], list[str]]:
-        """First-level events outside the root, and those behind the escape."""
-        ways = ["SE", "ED"] if self.o.fragment else ["ED" if self.ended else "SE"]
-        return ways, [*["DT"] * (self.o.dtd and not self.ended), *["CM/PI"] * bool(self.third)]
-
-    def _outside(self, out: BitWriter, kind: str) -> None:
-        ways, second = self._ways()
-        w = width(len(ways) + bool(second))
-        group = "CM/PI" if kind in self.third else kind
-        if kind in ways:
-            out.nbit(ways.index(kind), w)
-        elif group in second:
-            out.nbit(len(ways), w)
-            out.nbit(second.index(group), width(len(second)))
-            if group == "CM/PI":
-                out.nbit(self.third.index(kind), width(len(self.third)))
-        else:
-            raise Invalid(f"{kind} isn't allowed outside the root")
-
-    def decode(self, data: bytes, skip: bool = False) -> list[Event]:
-        """Events of a document; skip: without the content of self-contained elements."""
-        source, o = read_header(data, self.o)
-        codec = SchemaLess(o)
-        codec._begin()
-        return codec._read(source, skip)
-
-    def _read(self, source: BitReader, skip: bool) -> list[Event]:
-        events: list[Event] = []
-        stack: list[tuple[Name, bool]] = []
-        while True:
-            name = None
-            if not stack:
-                ways, second = self._ways()
-                k = source.nbit(width(len(ways) + bool(second)))
-                if k > len(ways) or (k == len(ways) and not second):
-                    raise Invalid(f"no event {k}")
-                kind = ways[k] if k < len(ways) else second[source.nbit(width(len(second)))]
-                if kind == "ED":
-                    return events
-                if kind == "SE":
-                    name = self.names.read(source)
-            else:
-                start, content = self._element(stack[-1][0])
-                at = start if stack[-1][1] else content
-                k = source.nbit(width(len(at.first) + 1))
-                if k > len(at.first):
-                    raise Invalid(f"no event {k}")
-                if k < len(at.first):
-                    kind, name = at.first[len(at.first) - 1 - k]
-                else:
-                    i = source.nbit(width(len(at.second)))
-                    if i >= len(at.second):
-                        raise Invalid(f"no event {k}.{i}")
-                    kind = at.second[i]
-                    if kind in ("SE", "AT"):
-                        name = self.names.read(source)
-                    if kind not in ("CM/PI", "ER", "SC"):
-                        self._learn(at, (kind, name))
-            if kind == "CM/PI":
-                i = source.nbit(width(len(self.third)))
-                kind = self.third[i]
-            if kind == "SC":
-                source.align()
-                size = source.unsigned()
-                events.append(("SC", None, None))
-                if skip:
-                    events.append(("EE", None, None))
-                else:
-                    inner = SchemaLess(self.o)
-                    inner._begin()
-                    at_byte = source.at // 8
-                    events.extend(inner._read(BitReader(source.data[at_byte : at_byte + size], 0, source.byte_aligned), skip)[1:])
-                source.skip(size)
-                stack.pop()
-                self.ended = True
-                continue
-            value = None
-            if kind in ("AT", "CH"):
-                value = self.strings.read(source, _ctx(name if kind == "AT" else stack[-1][0]))
-            elif kind == "CM":
-                value = source.string()
-            elif kind == "PI":
-                name = ("", source.string())
-                value = source.string()
-            elif kind == "DT":
-                name = ("", source.string())
-                value = "\0".join(source.string() for _ in range(3))
-            elif kind == "ER":
-                name = ("", source.string())
-            events.append((kind, name, value))
-            self._moved(stack, kind, name)
-
-
-def _ctx(name: Name) -> str:
-    return f"{{{name[0]}}}{name[1]}"
+            at, again = (i, True) if several else (i + 1, False)
