@@ -37,9 +37,9 @@ def test_space_of_whole_texts(spark, tmp_path):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
-    con.execute(ORACLE_SQL["ws_tests_whole"])
+    con.execute(ORACLE_SQL["ws_tests"])
     names = [c[0] for c in con.description]
-    got = plain(QUERIES["ws_tests_whole"](spark, str(tmp_path)).collect(), names)
+    got = plain(QUERIES["ws_tests"](spark, str(tmp_path)).collect(), names)
     assert got == sorted(con.fetchall(), key=repr)
     assert {r[names.index("lead")] for r in got} >= {0, 1, 36} and {r[names.index("trail")] for r in got} >= {0, 1, 36}
 

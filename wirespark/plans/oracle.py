@@ -74,3 +74,24 @@ def events(relation: str, key: str, root: str, fields: list[str]) -> str:
     k = 2 + 3 * len(fields)
     rows += [f"({k}, 'EE', '{root}', NULL)", f"({k + 1}, 'ED', NULL, NULL)"]
     return " UNION ALL ".join(f"SELECT CAST({key} AS BIGINT) AS doc_id, CAST({x[0]} AS BIGINT) AS seq, {x[1]} AS event, {x[2]} AS local, {x[3]} AS value FROM {relation}" for x in (r[1:-1].split(", ", 3) for r in rows))
+
+
+#: The bounded value table (4 values of at most 200 characters), row after row: values, their contexts and places, the next slot.
+BOUNDED = f"""
+WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM ({STRINGS})),
+r AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS ctx, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS hit, CAST(-1 AS BIGINT) AS id, CAST(0 AS BIGINT) AS size,
+    CAST([] AS VARCHAR[]) AS vals, CAST([] AS VARCHAR[]) AS own, CAST([] AS BIGINT[]) AS place, CAST(0 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS n_role, CAST(0 AS BIGINT) AS n_text FROM (SELECT DISTINCT doc_id FROM v)
+  UNION ALL
+  SELECT doc_id, k, seq, ctx, value,
+    CASE WHEN spot IS NULL THEN 'miss' WHEN own[spot] = ctx THEN 'local' ELSE 'global' END,
+    CAST(CASE WHEN spot IS NULL THEN -1 WHEN own[spot] = ctx THEN place[spot] ELSE spot - 1 END AS BIGINT),
+    CAST(CASE WHEN spot IS NULL THEN 0 WHEN own[spot] = ctx THEN (CASE ctx WHEN 'role' THEN n_role ELSE n_text END) ELSE len(vals) END AS BIGINT),
+    CASE WHEN NOT new THEN vals WHEN len(vals) < 4 THEN list_append(vals, value) ELSE list_transform(vals, lambda x, i: CASE WHEN i = slot + 1 THEN value ELSE x END) END,
+    CASE WHEN NOT new THEN own WHEN len(vals) < 4 THEN list_append(own, ctx) ELSE list_transform(own, lambda x, i: CASE WHEN i = slot + 1 THEN ctx ELSE x END) END,
+    CASE WHEN NOT new THEN place WHEN len(vals) < 4 THEN list_append(place, n) ELSE list_transform(place, lambda x, i: CASE WHEN i = slot + 1 THEN n ELSE x END) END,
+    CAST(CASE WHEN new THEN (slot + 1) % 4 ELSE slot END AS BIGINT), CAST(n_role + (new AND ctx = 'role')::INT AS BIGINT), CAST(n_text + (new AND ctx = 'text')::INT AS BIGINT)
+  FROM (SELECT r.doc_id, v.k, v.seq, v.ctx, v.value, r.vals, r.own, r.place, r.slot, r.n_role, r.n_text, CASE v.ctx WHEN 'role' THEN r.n_role ELSE r.n_text END AS n, nullif(list_position(r.vals, v.value), 0) AS spot,
+    coalesce(list_position(r.vals, v.value), 0) = 0 AND v.value <> '' AND length(v.value) <= 200 AS new FROM r JOIN v ON v.doc_id = r.doc_id AND v.k = r.k + 1))
+SELECT doc_id, seq, ctx, value, hit, id, size FROM r WHERE k > 0
+"""

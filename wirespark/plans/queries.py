@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirespark.functions import bits as B
+from wirespark.functions import names as Q
+from wirespark.functions import numbers as N
+from wirespark.functions import times as M
 from wirespark.functions import values as V
 from wirespark.operators import dictionary as D
 from wirespark.operators import events as E
 from wirespark.operators import grammar as G
 from wirespark.plans import oracle as O
+from wirespark.plans.registry import ORACLE_SQL, QUERIES, long, query, table
 from wirespark.sources import exi
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def long(c):
-    return (F.col(c) if isinstance(c, str) else c).cast("long")
+from wirespark.sources.codec import Options
 
 
 KEYS = "SELECT DISTINCT l_orderkey AS n FROM lineitem"
@@ -76,14 +57,14 @@ PRICE = "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
 (CASE WHEN starts_with(t, '-') THEN '1' ELSE '0' END) || {O.uint("CAST(split_part(ltrim(t, '-'), '.', 1) AS BIGINT)")} || {O.uint("CAST(reverse(split_part(t, '.', 2)) AS BIGINT)")} AS bits FROM (SELECT o_orderkey, {PRICE} AS t FROM orders)""")
 def decimal_parts(spark, d):
     t = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    p = V.decimal_parts(t)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), t.alias("text"), p["negative"].alias("negative"), p["whole"].alias("whole"), p["fraction"].alias("fraction"), V.decimal(t).alias("bits"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), t.alias("text"), N.decimal_parts(t).alias("p"))
+    return rows.select("key", "text", "p.*", N.decimal_bits(F.col("p")).alias("bits"))
 
 
 @query("""SELECT s_suppkey AS key, w || '.' || CASE WHEN f = '' THEN '0' ELSE f END AS text FROM (SELECT s_suppkey, split_part(t, '.', 1) AS w, rtrim(split_part(t, '.', 2), '0') AS f FROM
 (SELECT s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS t FROM supplier))""")
 def decimal_canonical(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), V.decimal_text(F.col("s_acctbal").cast("decimal(18,2)").cast("string")).alias("text"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), N.decimal_text(F.col("s_acctbal").cast("decimal(18,2)").cast("string")).alias("text"))
 
 
 FLOAT = """SELECT t AS text, CASE WHEN digits = '' THEN 0 ELSE CAST(rtrim(digits, '0') AS BIGINT) END AS mantissa, CAST(CASE WHEN digits = '' THEN 0 ELSE length(digits) - length(rtrim(digits, '0')) - 2 END AS BIGINT) AS exponent
@@ -95,8 +76,8 @@ def float_canonical(spark, d):
     lines = table(spark, d, "lineitem")
     text = lambda c: F.col(c).cast("decimal(18,2)").cast("string").alias("text")
     t = lines.select(text("l_discount")).union(lines.select(text("l_quantity"))).distinct()
-    p = V.float_parts(F.col("text"))
-    return t.select("text", p["mantissa"].alias("mantissa"), long(p["exponent"]).alias("exponent"), V.float_bits(F.col("text")).alias("bits"), V.float_text(p).alias("canonical"))
+    rows = t.select("text", N.float_parts(F.col("text")).alias("p"))
+    return rows.select("text", "p.mantissa", long("p.exponent").alias("exponent"), N.float_bits(F.col("p")).alias("bits"), N.float_text(F.col("p")).alias("canonical"))
 
 
 MICROS = "date_part('microseconds', ts) % 1000000"
@@ -107,39 +88,36 @@ PACKED = f"""SELECT event_id AS key, CAST(year(ts) AS BIGINT) AS year, CAST(mont
 @query(f"SELECT *, {O.sint('year - 2000')} || {O.nbit('month_day', 9)} || {O.nbit('time', 17)} || CASE WHEN fraction IS NULL THEN '0' ELSE '1' || {O.uint('fraction')} END || '1' || {O.nbit('896', 11)} AS bits FROM ({PACKED})")
 def datetime_pack(spark, d):
     t = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-    p = V.datetime_parts(F.col("t"), "dateTime")
-    rows = table(spark, d, "events").select(F.col("event_id").alias("key"), t.alias("t"))
-    return rows.select("key", *[p[c].alias(c) for c in ("year", "month_day", "time", "fraction")], V.datetime(F.col("t"), "dateTime").alias("bits"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("key"), M.parts(t, "dateTime").alias("p"))
+    wire = rows.select("key", "p", M.wire_parts(F.col("p")).alias("w"))
+    return wire.select("key", *[long(f"w.{c}").alias(c) for c in ("year", "month_day", "time", "fraction")], M.wire(F.col("p"), "dateTime").alias("bits"))
 
 
 @query("SELECT o_orderkey AS key, strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month, CAST(day(o_orderdate) AS BIGINT) AS day FROM orders")
 def datetime_unpack(spark, d):
-    bits = V.datetime(F.date_format("o_orderdate", "yyyy-MM-dd"), "date")
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), bits.alias("b"))
-    # sign and the groups of the year, then 9 bits of month and day
-    negative, low = F.substring("b", 1, 1) == "1", F.conv(F.substring("b", 3, 7), 2, 10).cast("long")
-    year = 2000 + F.when(negative, -low - 1).otherwise(low)
-    md = B.read(F.col("b"), F.lit(9), 9)
-    parts = rows.select("key", year.alias("year"), F.floor(md / 32).alias("month"), F.pmod(md, F.lit(32)).alias("day"))
+    bits = M.datetime(F.date_format("o_orderdate", "yyyy-MM-dd"), "date")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), bits.alias("b")).withColumn("y", B.read_integer(F.col("b"), F.lit(0)))
+    parts = rows.select("key", (F.col("y.value") + 2000).alias("year"), B.read(F.col("b"), F.col("y.next"), 9).alias("md"))
+    parts = parts.select("key", "year", F.floor(F.col("md") / 32).alias("month"), F.pmod("md", F.lit(32)).alias("day"))
     return parts.select("key", F.date_format(F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int")), "yyyy-MM-dd").alias("date"), "year", long("month").alias("month"), long("day").alias("day"))
 
 
 @query("SELECT event_id AS key, strftime(ts - INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM events")
 def datetime_utc(spark, d):
     t = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30"))
-    return table(spark, d, "events").select(F.col("event_id").alias("key"), V.to_utc(t).alias("utc"))
+    return table(spark, d, "events").select(F.col("event_id").alias("key"), M.to_utc(t).alias("utc"))
 
 
 @query("SELECT o_orderkey AS key, CAST(day(last_day(CAST(o_orderdate AS DATE))) AS BIGINT) AS days, CAST(((o_custkey - 7) % 13 + 13) % 13 + 7 AS BIGINT) AS modulo, CAST(floor((o_custkey - 7) / 13) AS BIGINT) AS quotient FROM orders")
 def duration_helpers(spark, d):
-    a, low, high = F.col("o_custkey"), F.lit(7), F.lit(20)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), long(V.days_in_month(F.year("o_orderdate"), F.month("o_orderdate"))).alias("days"), long(V.modulo(a, low, high)).alias("modulo"), long(V.quotient(a, low, high)).alias("quotient"))
+    a = F.col("o_custkey")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), long(M.days_in_month(F.year("o_orderdate"), F.month("o_orderdate"))).alias("days"), long(M.modulo(a, 7, 20)).alias("modulo"), long(M.quotient(a, 7, 20)).alias("quotient"))
 
 
-@query("SELECT doc_id, CASE quality WHEN 1 THEN '10' ELSE '00' END AS facet, CASE toxic WHEN 1 THEN '11' ELSE '01' END AS digit, toxic = 1 AS value FROM labels")
+@query("SELECT doc_id, CASE quality WHEN 1 THEN '10' ELSE '00' END AS facet, CASE toxic WHEN 1 THEN '11' ELSE '01' END AS digit, toxic = 1 AS value, CAST(quality AS VARCHAR) AS bit FROM labels")
 def boolean_facet(spark, d):
     word, digit = F.when(F.col("quality") == 1, " true ").otherwise("false"), F.col("toxic").cast("string")
-    return table(spark, d, "labels").select("doc_id", B.nbit(V.boolean_facet(word), 2).alias("facet"), B.nbit(V.boolean_facet(digit), 2).alias("digit"), V.boolean(digit).alias("value"))
+    return table(spark, d, "labels").select("doc_id", B.nbit(V.boolean_facet(word), 2).alias("facet"), B.nbit(V.boolean_facet(digit), 2).alias("digit"), V.boolean(digit).alias("value"), V.boolean_bit(word).alias("bit"))
 
 
 @query("SELECT l_orderkey AS key, CAST(l_linenumber AS BIGINT) AS line, CASE l_returnflag WHEN 'A' THEN '00' WHEN 'N' THEN '01' WHEN 'R' THEN '10' END AS flag, CASE l_linestatus WHEN 'F' THEN '0' WHEN 'O' THEN '1' END AS status FROM lineitem")
@@ -186,17 +164,11 @@ def ws_facets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(V.collapse_space(F.col("text"))).alias("collapsed"), F.md5(V.replace_space(F.col("text"))).alias("replaced"))
 
 
-@query("SELECT doc_id, regexp_full_match(substr(text, 9, 1), '[ \\t\\r\\n]*') AS only, CAST(length(s) - length(ltrim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS lead, CAST(length(s) - length(rtrim(s, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS trail FROM (SELECT *, substr(text, 3, 9) AS s FROM documents)")
-def ws_tests(spark, d):
-    s = F.substring("text", 3, 9)
-    return table(spark, d, "documents").select("doc_id", V.only_space(F.substring("text", 9, 1)).alias("only"), long(V.leading_space(s)).alias("lead"), long(V.trailing_space(s)).alias("trail"))
-
-
 WHOLE = "regexp_full_match(text, '[ \\t\\r\\n]*') AS only, CAST(length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS lead, CAST(length(text) - length(rtrim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS BIGINT) AS trail"
 
 
 @query(f"SELECT 'documents' AS source, doc_id AS key, CAST(NULL AS BIGINT) AS turn, {WHOLE} FROM documents UNION ALL SELECT 'conversations', conv_id, turn, {WHOLE} FROM conversations")
-def ws_tests_whole(spark, d):
+def ws_tests(spark, d):
     tests = lambda x: (V.only_space(x).alias("only"), long(V.leading_space(x)).alias("lead"), long(V.trailing_space(x)).alias("trail"))
     docs = table(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("key"), long(F.lit(None)).alias("turn"), *tests(F.col("text")))
     return docs.unionByName(table(spark, d, "conversations").select(F.lit("conversations").alias("source"), F.col("conv_id").alias("key"), "turn", *tests(F.col("text"))))
@@ -205,7 +177,7 @@ def ws_tests_whole(spark, d):
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'ns' || (c_custkey % 3) END AS prefix, c_mktsegment AS local FROM customer")
 def qname_split(spark, d):
     name = F.concat(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("ns"), F.col("c_custkey") % 3, F.lit(":"))).otherwise(""), F.col("c_mktsegment"))
-    q = V.qname(name)
+    q = Q.qname(name)
     return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), q["prefix"].alias("prefix"), q["local"].alias("local"))
 
 
@@ -254,7 +226,7 @@ def string_table_shared(spark, d):
     return D.value_table(D.seeded(turns(spark, d), ["user", "system"])).withColumn("bits", D.value_bits()).where("seq >= 0")
 
 
-@query()
+@query(O.BOUNDED)
 def string_table_bounded(spark, d):
     return D.bounded_table(turns(spark, d), capacity=4, max_length=200)
 
@@ -291,22 +263,6 @@ def text_merge(spark, d):
     return E.merged_text(rows, "conv_id", "turn", "role", "text")
 
 
-CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
-
-
-@query(f"SELECT {', '.join(CUSTOMER)} FROM customer")
-def xml_roundtrip(spark, d):
-    rows = table(spark, d, "customer").select(F.struct(*CUSTOMER).alias("s"))
-    xml = rows.select(F.to_xml("s", {"rowTag": "customer"}).alias("x"))
-    return xml.select(F.from_xml("x", "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING", {"rowTag": "customer"}).alias("r")).select("r.*")
-
-
-@query(f"SELECT CAST(r_regionkey AS BIGINT) AS key, {O.packed('b')} AS hex FROM (SELECT r_regionkey, '10000000' || '0' || {O.sint('r_regionkey')} || {O.text('r_name', 2)} AS b FROM region)")
-def encode_hex(spark, d):
-    bits = F.concat(F.lit("10000000"), F.lit("0"), B.integer(F.col("r_regionkey")), B.unsigned(F.char_length("r_name") + 2), V.characters(F.col("r_name")))
-    return table(spark, d, "region").select(long("r_regionkey").alias("key"), F.hex(B.pack(bits)).alias("hex"))
-
-
 ORDER = T.StructType([T.StructField(n, t, n != "o_orderpriority") for n, t in (("o_orderkey", T.LongType()), ("o_custkey", T.LongType()), ("o_orderstatus", T.StringType()), ("o_orderpriority", T.StringType()))])
 
 
@@ -326,17 +282,6 @@ def header_parse(spark, d):
     return table(spark, d, "orders").select(k.alias("key"), B.pack(bits).alias("content")).select("key", h["cookie"].alias("cookie"), h["options"].alias("options"), long(h["version"]).alias("version"), h["valid"].alias("valid"))
 
 
-@query(f"""WITH f AS (SELECT l_orderkey AS key, CAST(l_linenumber AS BIGINT) AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CAST((length({O.sint('l_linenumber')}) + length({O.sint('l_partkey')}) + 7) // 8 AS BIGINT) AS size FROM lineitem)
-SELECT key, line, n AS part, size, CAST(coalesce(sum(size) OVER (PARTITION BY key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM f""")
-def sc_index(spark, d):
-    by = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
-    docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(by.alias("parts"))
-    sized = F.transform("parts", lambda p: F.struct(p["l_linenumber"].cast("long").alias("line"), F.octet_length(B.pack(F.concat(B.integer(p["l_linenumber"]), B.integer(p["l_partkey"])))).cast("long").alias("size")))
-    rows = docs.select("key", sized.alias("s")).select("key", "s", F.posexplode("s").alias("i", "p"))
-    before = F.aggregate(F.slice("s", 1, F.col("i")), F.lit(0).cast("long"), lambda n, p: n + p["size"])
-    return rows.select("key", "p.line", long(F.col("i") + 1).alias("part"), "p.size", before.alias("at"))
-
-
 @query("""WITH p AS (SELECT o_orderkey AS key, list_filter([CASE WHEN o_orderkey % 2 = 0 THEN 0 END, CASE WHEN o_orderkey % 3 = 0 THEN 1 END, CASE WHEN o_custkey % 2 = 0 THEN 2 END, 3], lambda x: x IS NOT NULL) AS h FROM orders),
 e AS (SELECT key, h, unnest(range(1, len(h) + 1)) AS i FROM p), s AS (SELECT key, h[i] AS field, CASE WHEN i = 1 THEN 0 ELSE h[i - 1] + 1 END AS state FROM e)
 SELECT key, CAST(field AS BIGINT) AS field, CAST(field - state AS BIGINT) AS code, CAST(CASE 4 - state WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS BIGINT) AS width FROM s""")
@@ -345,6 +290,5 @@ def event_codes_strict(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.explode(codes).alias("e")).select("key", "e.*")
 
 
-@query()
-def strict_transitions(spark, d):
-    return G.transitions(spark, ORDER, "order")
+# the others register themselves
+from wirespark.plans import documents, grammars, scalars  # noqa: E402, F401
