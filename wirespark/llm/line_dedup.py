@@ -8,14 +8,14 @@ hosts of 2 to 7 pages only. All of it is DataFrame functions: each page gives it
 before the shuffle, and a host's dropped lines return to its pages, so that no text is shuffled as long as the hosts with
 such lines are few enough to broadcast, and none is ever exploded.
 
-Lines are told apart by 64-bit hashes within a host. Lines without a word are neither counted nor dropped. A null host
+The host is any column: a site's name, or host() of a URL. Lines are told apart by 64-bit hashes within a host. Lines without a word are neither counted nor dropped. A null host
 is a host of its own; a null text stays null and counts as a page; a text that loses all its lines becomes empty. Equal
 rows are pages each. An empty table gives an empty result. Other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirespark.llm.common import WORD, lookup, written
@@ -25,6 +25,12 @@ RATIO, LEAST_PAGES = 0.1, 5
 SMALL_RATIO = 0.5
 
 
+def host(url: Column) -> Column:
+    """The host of a URL in lower case, without user and port; null where there is none."""
+    found = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
+    return F.lower(F.nullif(found, F.lit("")))
+
+
 def boilerplate(pages: DataFrame, host_col: str, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(_none, _host, _bad): the hashes of each host's lines to drop."""
     host = [F.col(host_col).isNull().alias("_none"), F.coalesce(host_col, F.lit("")).alias("_host")]

@@ -7,17 +7,21 @@ other; a no-break space becomes a space). Records are built with DataFrame funct
 references, one response at a time: no shuffle. Record ids are digests of what they name, so reruns
 give equal records. write() makes one .warc.gz file a partition, one gzip member a record; read() parses such files.
 
-A null URL or payload counts as empty, and an empty payload gives an empty conversion block. Equal rows give equal
-records. An empty table gives no records. Other columns are carried if named.
+Ids are made from the columns carried along (`keep`), URL, date and payload, so pages with ids of their own have records of
+their own; rows equal in all of these are one page twice and give equal records. Control characters in a URL are
+percent-encoded, so that none ends a header line. A null URL or payload counts as empty, and an empty payload gives an
+empty conversion block. An empty table gives no records. A column to be carried along whose name is one of the output's
+gets a `_` behind its name.
 """
 
 from __future__ import annotations
 
 import gzip
 import html as markup
+import html.entities
 import io
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -37,7 +41,6 @@ TO_TEXT = (
     (f"(?i)</?(?:{BLOCKS})(?:[ /][^>]*)?>", "\n"),
     ("<[^>]*>", ""),
 )
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 TIDY = ((" *\n[ \n]*", "\n"), ("  +", " "))
 TITLE = "(?is)<title[^>]*>(.*?)</title"
 LINK = "(?i)<a[ \t\r\n\f][^>]*href="
@@ -56,17 +59,10 @@ def _decode(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None or "&" not in t else decoded(t) for t in texts.to_pylist()], pa.string())
 
 
-def _decode_six(html: Column) -> Column:
-    """Only the six references of ENTITIES, as SQL has them."""
-    for name, put in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(put))
-    return html
-
-
-def plain_text(html: Column, decode: Callable[[Column], Column] = _decode) -> Column:
+def plain_text(html: Column) -> Column:
     for pattern, put in TO_TEXT:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
-    html = decode(html)
+    html = _decode(html)
     for pattern, put in TIDY:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(put))
     return F.btrim(html, F.lit(" \n"))
@@ -85,21 +81,35 @@ def _lines(*pairs: tuple[str, Column]) -> Column:
     return F.concat(*[x for name, value in pairs for x in (F.lit(f"{name}: "), value, F.lit(CRLF))])
 
 
+#: Columns of responses and of their derivatives.
+OWN = frozenset("record_id target_uri date http_headers payload payload_digest warc_type refers_to source_digest block_digest header block kind r".split())
+
+
+def one_line(url: Column) -> Column:
+    """A URL without characters that would end a header line."""
+    for c in ("\r", "\n", "\t", "\0"):
+        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return url
+
+
 def responses(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: tuple[str, ...] = ("page_id",), date: str = DATE) -> DataFrame:
     """(keep..., record_id, target_uri, date, http_headers, payload, payload_digest) of fetched pages."""
-    url, html = F.coalesce(url_col, F.lit("")), F.coalesce(html_col, F.lit(""))
+    url, html = one_line(F.coalesce(url_col, F.lit(""))), F.coalesce(html_col, F.lit(""))
     size = F.octet_length(html).cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF))
-    made = pages.select(*keep, url.alias("target_uri"), F.lit(date).alias("date"), http.alias("http_headers"), html.alias("payload"), _digest(html).alias("payload_digest"))
-    return made.withColumn("record_id", _urn(F.lit("response"), F.col("target_uri"), F.col("date"), F.col("payload_digest")))
+    kept = [F.col(c).alias(c + "_" * (c in OWN)) for c in keep]
+    made = pages.select(*kept, url.alias("target_uri"), F.lit(date).alias("date"), http.alias("http_headers"), html.alias("payload"), _digest(html).alias("payload_digest"))
+    own = [F.coalesce(F.col(c + "_" * (c in OWN)).cast("string"), F.lit("")) for c in keep]
+    return made.withColumn("record_id", _urn(F.lit("response"), *own, F.col("target_uri"), F.col("date"), F.col("payload_digest")))
 
 
-def derivatives(records: DataFrame, keep: tuple[str, ...] = ("page_id",), all_references: bool = True) -> DataFrame:
-    """(keep..., warc_type, record_id, refers_to, target_uri, source_digest, block_digest, header, block): two rows a response. all_references False: only the six of ENTITIES are decoded, and none in titles, as SQL has it."""
+def derivatives(records: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(keep..., warc_type, record_id, refers_to, target_uri, source_digest, block_digest, header, block): two rows a response."""
+    keep = [c + "_" * (c in OWN) for c in keep]
     payload = F.col("payload")
     title = F.regexp_extract(payload, TITLE, 1)
-    title = F.trim(F.regexp_replace(_decode(title) if all_references else title, "[ \t\r\n\f]+", " "))
-    text = plain_text(payload, _decode if all_references else _decode_six)
+    title = F.trim(F.regexp_replace(_decode(title), "[ \t\r\n\f]+", " "))
+    text = plain_text(payload)
     links = F.regexp_count(payload, F.lit(LINK)).cast("string")
     fields = F.concat(F.regexp_replace("http_headers", F.lit("(?m)^([A-Za-z-]+): "), F.lit("http-header-$1: ")), _lines(("title", title), ("outlinks", links)))
     made = lambda kind, content, block: F.struct(F.lit(kind).alias("warc_type"), F.lit(content).alias("kind"), block.alias("block"))
@@ -177,10 +187,18 @@ def _sql() -> str:
             x = f"regexp_replace({x}, {q(pattern)}, {q(put)}, 'g')"
         return x
 
-    text = replaced("payload", TO_TEXT)
-    for name, put in ENTITIES:
-        text = f"replace({text}, {q(name)}, {q(put)})"
-    text = f"trim({replaced(text, TIDY)}, ' ' || chr(10))"
+    def decoded(x: str) -> str:
+        """References that end in a semicolon, each once; the tables have no others."""
+        ref = "'^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);'"
+        name = f"regexp_extract(p, {ref}, 1)"
+        number = f"CASE WHEN {name} ILIKE '#x%' THEN CAST('0x' || substr({name}, 3) AS INTEGER) ELSE CAST(substr({name}, 2) AS INTEGER) END"
+        put = f"CASE WHEN {name} LIKE '#%' THEN (CASE WHEN {number} = 160 THEN ' ' ELSE chr({number}) END) ELSE names[{name}] END"
+        piece = f"CASE WHEN regexp_matches(p, {ref}) AND ({name} LIKE '#%' OR names[{name}] IS NOT NULL) THEN {put} || substr(p, length({name}) + 2) ELSE '&' || p END"
+        return f"(SELECT coalesce(ps[1], '') || array_to_string(list_transform(ps[2:], lambda p: {piece}), '') FROM (SELECT string_split({x}, '&') AS ps))"
+
+    names = {k.removesuffix(";"): " " if k == "nbsp;" else v for k, v in markup.entities.html5.items() if k.endswith(";") and len(v) == 1}
+    table = f"map([{', '.join(q(k) for k in names)}], [{', '.join(f'chr({ord(v)})' for v in names.values())}])"
+    text = f"trim({replaced(decoded(replaced('payload', TO_TEXT)), TIDY)}, ' ' || chr(10))"
     urn = lambda x: f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({x}) AS h))"
     end = "chr(13) || chr(10)"
     space = r"[ \t\r\n\f]"
@@ -192,10 +210,10 @@ def _sql() -> str:
         )
     )
     return f"""
-WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, '{DATE}' AS date, coalesce(html, '') AS payload FROM pages),
+WITH p AS (SELECT page_id, coalesce(url, '') AS target_uri, '{DATE}' AS date, coalesce(html, '') AS payload, {table} AS names FROM pages),
 r AS (SELECT *, 'sha256:' || sha256(payload) AS source_digest FROM p),
-s AS (SELECT *, {urn("'response|' || target_uri || '|' || date || '|' || source_digest")} AS refers_to,
-  trim(regexp_replace(regexp_extract(payload, '{TITLE}', 1), '{space}+', ' ', 'g')) AS title, len(regexp_extract_all(payload, '(?i)<a{space}[^>]*href=')) AS links FROM r),
+s AS (SELECT *, {urn("'response|' || CAST(page_id AS VARCHAR) || '|' || target_uri || '|' || date || '|' || source_digest")} AS refers_to,
+  trim(regexp_replace({decoded(f"regexp_extract(payload, '{TITLE}', 1)")}, '{space}+', ' ', 'g')) AS title, len(regexp_extract_all(payload, '(?i)<a{space}[^>]*href=')) AS links FROM r),
 b AS (SELECT page_id, target_uri, date, source_digest, refers_to, 'metadata' AS warc_type, 'application/warc-fields' AS kind,
   'HTTP/1.1 200 OK' || {end} || 'http-header-Content-Type: text/html; charset=utf-8' || {end} || 'http-header-Content-Length: ' || CAST(octet_length(encode(payload)) AS VARCHAR) || {end} || 'title: ' || title || {end} || 'outlinks: ' || CAST(links AS VARCHAR) || {end} AS block FROM s
   UNION ALL SELECT page_id, target_uri, date, source_digest, refers_to, 'conversion', 'text/plain; charset=utf-8', {text} FROM s),
