@@ -22,8 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; where that is unset, a local one, if driver and executors are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
