@@ -43,8 +43,9 @@ def test_query_matches_brute_force(spark, data):
     assert sum(w[1] > 0 for w in want.values()) > 20
 
 
-@pytest.mark.parametrize("chunk", [900, 1 << 20])
-def test_edits_repeats_and_small_chunks(spark, chunk):
+@pytest.mark.parametrize("chunk,limits", [(900, {}), (1 << 20, {}), (900, {"bucket_bytes": 500, "fan": 2, "hot": 1, "batch_bytes": 200}), (4000, {"bucket_bytes": 900, "fan": 3, "hot": 20})])
+def test_edits_repeats_and_small_chunks(spark, chunk, limits):
+    """Also with several hops for each row, and with strips of nearly all keys split."""
     rng = random.Random(chunk)
     base, docs = ["".join(rng.choice("ab cde\0é") for _ in range(400)) for _ in range(4)], []
     for i in range(60):
@@ -54,7 +55,7 @@ def test_edits_repeats_and_small_chunks(spark, chunk):
         docs.append({"doc_id": i // 2 if i % 7 == 0 else i, "text": t})
     rng.shuffle(docs)
     df = spark.createDataFrame([(d["doc_id"], d["text"], 1) for d in docs], "doc_id long, text string, part int").repartition(3)
-    assert sorted((r["doc_id"], *digest(r)) for r in rows(repeats.remove_repeats(df, chunk))) == sorted((d["doc_id"], *w) for d, w in zip(docs, brute(docs), strict=True))
+    assert sorted((r["doc_id"], *digest(r)) for r in rows(repeats.remove_repeats(df, chunk, **limits))) == sorted((d["doc_id"], *w) for d, w in zip(docs, brute(docs), strict=True))
 
 
 def test_odd_rows(spark):

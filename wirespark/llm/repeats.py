@@ -3,17 +3,20 @@
 1. Routing. Every window of LENGTH bytes has a key, the least hash of the GRAM-byte strings in it: equal windows have equal keys.
    Keys that occur in one document only are ruled out (each chunk sends its distinct keys with its least and greatest
    document, so a hot key costs a row a chunk).
-2. Windows in a row with one key make a strip. Strips whose keys are left are known by a digest: each chunk tells its
-   digests with their least documents, and the part with the least of all owns a digest and alone sends its bytes to
-   the shard of its key.
+2. Windows in a row with one key make a strip, known by a digest; each chunk tells its digests with their least documents.
+   If all strips of a key are equal, that is the answer. Else the part with the least document of all owns a digest
+   and alone sends its bytes to the shard of its key. Strips of a hot key are split first, see Windows.split().
 3. Index. A shard sorts the suffixes of its distinct strings, keeps their Burrows-Wheeler transform as runs, and samples
    suffixes at run ends. Match lengths are computed at the samples alone and streamed along the text (a suffix that is
    no run's first matches one byte less than the suffix one to the left), and all windows of an interval
-   whose matches are LENGTH or longer are one string: its first document is the least of theirs.
+   whose matches are LENGTH or longer are one string: its first document is the least of theirs. A shard is indexed in
+   batches of whole keys of a bounded size.
 4. Each chunk gets back, for its strips, the first document of each window, and removes what earlier documents cover.
 
-Only hashes and strips travel; texts are written once to the shared folder, and what comes back to a part of them is a
-file of that part, which its task reads. Tasks depend on written tables alone, so lost ones can be run again anywhere.
+Only hashes and strips travel, in rows of many entries; a row goes to at most FAN buckets of shards or parts and is dealt
+again where there are more, so that rows grow as the input does. Texts are written once to the shared folder, and what
+comes back to a part of them is a file of that part, which its task reads. Tasks depend on written tables alone, so lost
+ones can be run again anywhere.
 
 Null texts count as empty; a null id counts as the smallest; rows equal in id are one document: they don't remove each
 other's bytes. Texts under LENGTH bytes stay whole. An empty table gives an empty result. Other columns are not read.
@@ -29,11 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import free_shuffles, mix64, partitions_for, shared_dir, slices, texts_of, written
+from wirespark.llm.common import discard, free_shuffles, mix64, partitions_for, shared_dir, slices, texts_of, written
 
 LENGTH, GRAM = 50, 16
-CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES, BATCH_BYTES = 2 << 20, 2 << 20, 2 << 20
+#: Buckets that one row's entries are dealt to at most; strips of a key from which on they are split.
+FAN, HOT = 512, 2000
+REGROUP_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
+SIDE = (LENGTH - GRAM) // 2
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -63,16 +70,15 @@ class Windows:
         self.raw = np.frombuffer(data, np.uint8)[:n] if n else np.zeros(0, np.uint8)
         self.doc_ids = doc_ids
         if n < LENGTH:
-            self.first = self.last = self.doc = np.zeros(0, np.int64)
-            self.key = self.digest = np.zeros(0, np.uint64)
+            self._set(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
             return
         h, size = self.raw.astype(np.uint64), 1
         h += np.uint64(1)
         while size < GRAM:  # h: hashes of `size` bytes
             h[:-size] = mix_step(h[:-size], h[size:])
             size *= 2
-        h = mix64(h)
-        digests = np.cumsum(h * powers(n))
+        self.grams = h = mix64(h)
+        self.digests = np.cumsum(h * powers(n))
         least, size, width = h, 1, LENGTH - GRAM + 1
         while 2 * size <= width:
             least = np.minimum(least[:-size], least[size:])
@@ -87,12 +93,35 @@ class Windows:
         change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]), [True]]))
         first, last = change[:-1], change[1:] - 1
         ok = least[first] != NONE  # every text ends in windows that are none, so no strip crosses texts
-        self.first, self.last = first[ok], last[ok]
-        self.key, self.doc = least[self.first], np.searchsorted(self.starts, self.first, side="right") - 1
-        # hashes of GRAM bytes at all places that start within the strip's bytes, moved to place 0
-        end = self.last + LENGTH - GRAM
-        before = np.where(self.first > 0, digests[self.first - 1], np.uint64(0))
-        self.digest = mix64((digests[end] - before) * inverse_powers(n)[self.first] + self.key + (self.last - self.first).astype(np.uint64) * STEP)
+        self._set(first[ok], last[ok], least[first[ok]])
+
+    def _set(self, first: np.ndarray, last: np.ndarray, key: np.ndarray) -> None:
+        self.first, self.last, self.key = first, last, key
+        self.doc = np.searchsorted(self.starts, first, side="right") - 1
+        self.digest = mix64(self._content(first, last + LENGTH - GRAM) + key + (last - first).astype(np.uint64) * STEP) if len(first) else np.zeros(0, np.uint64)
+
+    def _content(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the GRAM-byte strings that start from a to b, moved to place 0."""
+        before = np.where(a > 0, self.digests[a - 1], np.uint64(0))
+        return (self.digests[b] - before) * inverse_powers(len(self.raw))[a]
+
+    def split(self, hot: np.ndarray) -> None:
+        """Strips of hot keys (sorted) are cut: windows with SIDE bytes or more before the first string of the key in them are keyed by these bytes too, the others by as many behind it. Equal windows still have equal keys."""
+        is_hot = _in(self.key, hot)
+        if not is_hot.any():
+            return
+        n = (self.last - self.first + 1)[is_hot]
+        start = np.repeat(self.first[is_hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        key, place = np.repeat(self.key[is_hot], n), start.copy()
+        while (off := self.grams[place] != key).any():
+            place[off] += 1
+        before = place - start >= SIDE
+        heads = np.flatnonzero(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (place[1:] != place[:-1]) | (before[1:] != before[:-1])]))
+        last = start[np.append(heads[1:], len(start)) - 1]
+        start, key, place, before = start[heads], key[heads], place[heads], before[heads]
+        own = mix64(self._content(place - SIDE * before, place + SIDE * ~before) + np.where(before, key, ~key))
+        rest = self.first[~is_hot], self.last[~is_hot], self.key[~is_hot]
+        self._set(*(np.concatenate(x) for x in zip(rest, (start, last, own), strict=True)))
 
     def take(self, keep: np.ndarray) -> None:
         self.first, self.last, self.key, self.doc, self.digest = (x[keep] for x in (self.first, self.last, self.key, self.doc, self.digest))
@@ -234,124 +263,214 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
             yield int(parts[a]), Windows(texts_of(one.column("text")), np.asarray(one.column("doc_id").fill_null(NULL_ID))), one
 
 
-def _send(part: int, buckets: int, key: np.ndarray, blob, names: tuple[str, ...] = ("bucket", "part", "blob")) -> Iterator[pa.RecordBatch]:
-    """Rows for the buckets of keys; blob: from the places of a bucket to bytes."""
-    to = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    rows = [(b, part, blob(order[cuts[b] : cuts[b + 1]])) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], list(names))
+class Entries:
+    """Columns of equal length, of which the first says where an entry goes (modulo the number of buckets), and if `ragged` bytes for each entry, the last column's number."""
+
+    def __init__(self, *columns: np.ndarray, text: np.ndarray | None = None, at: np.ndarray | None = None):
+        self.columns, self.text = list(columns), text
+        self.at = at if at is not None or text is None else np.cumsum(columns[-1].astype(np.int64)) - columns[-1]
 
+    def of(self, rows: np.ndarray) -> bytes:
+        own = [c[rows] for c in self.columns]
+        if self.text is None:
+            return packed(*own)
+        raw = self.text
+        text = b"".join(raw[a : a + n] for a, n in zip(self.at[rows].tolist(), own[-1].tolist(), strict=True))
+        return packed(*own, np.frombuffer(text, np.uint8))
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[np.ndarray]]]]:
-    """(bucket, parts, unpacked blobs) of one bucket after the other; rows are sorted by bucket."""
-    bucket, parts, blobs = None, [], []
+    @classmethod
+    def joined(cls, blobs: list[bytes], ragged: bool) -> Entries:
+        columns = [np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True)]
+        return cls(*columns[:-1], text=columns[-1].tobytes()) if ragged else cls(*columns)
+
+    def rows(self, buckets: int, span: int, salt: int, kind: int) -> Iterator[pa.RecordBatch]:
+        """A row for each `span` of buckets that entries go to."""
+        if not len(self.columns[0]):
+            return
+        to = self.columns[0] % self.columns[0].dtype.type(buckets) // self.columns[0].dtype.type(span)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], to[order][1:] != to[order][:-1], [True]]))
+        blobs = [self.of(order[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        n = len(blobs)
+        yield pa.RecordBatch.from_arrays([pa.array(to[order[cuts[:-1]]].astype(np.int64)), pa.array(np.full(n, salt)), pa.array(np.full(n, kind)), pa.array(blobs, pa.binary())], ["bucket", "salt", "kind", "blob"])
+
+
+ROWS = "bucket long, salt long, kind long, blob binary"
+
+
+def _spans(buckets: int, fan: int) -> list[int]:
+    """Buckets that go together in each hop, `fan` such groups of each at most; the last is 1."""
+    spans = [1]
+    while -(-buckets // spans[0]) > fan:
+        spans.insert(0, spans[0] * fan)
+    return spans
+
+
+def _routed(sent: DataFrame, buckets: int, plan: Plan, ragged: bool = False, there: DataFrame | None = None) -> DataFrame:
+    """Rows of Entries.rows(.., _spans(..)[0], ..), and those that are `there` already, at their last buckets; (bucket, kind) in order."""
+
+    def deal(span: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size, key = [], 0, None
+            for batch in batches:
+                for b, salt, kind, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and ((b, kind) != key or size > REGROUP_BYTES):
+                        yield from Entries.joined(held, ragged).rows(buckets, span, salt, key[1])
+                        held, size = [], 0
+                    key = (b, kind)
+                    held.append(blob)
+                    size += len(blob)
+            if held:
+                yield from Entries.joined(held, ragged).rows(buckets, span, salt, key[1])
+
+        return run
+
+    spans, tasks = _spans(buckets, plan.fan), plan.buckets
+    for span in spans[1:]:
+        sent = sent.repartition(tasks, "bucket", "salt").sortWithinPartitions("bucket", "kind").mapInArrow(deal(span), ROWS)
+    sent = sent if there is None else sent.unionByName(there)
+    return sent.repartition(min(buckets, tasks), "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """(bucket, blobs by kind) of one bucket after the other; rows are sorted by bucket."""
+    bucket, blobs = None, {}
     for batch in batches:
-        for b, part, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "blob")), strict=True):
+        for b, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "blob")), strict=True):
             if b != bucket and blobs:
-                yield bucket, parts, blobs
-                parts, blobs = [], []
+                yield bucket, blobs
+                blobs = {}
             bucket = b
-            parts.append(part)
-            blobs.append(unpacked(blob))
+            blobs.setdefault(kind, []).append(blob)
     if blobs:
-        yield bucket, parts, blobs
+        yield bucket, blobs
 
 
-def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
-
-
-def _to_parts(rows: DataFrame, name: str) -> str:
-    """Writes (part, blob) rows, a folder a part; the path."""
+def _to_parts(rows: DataFrame, plan: Plan, name: str) -> str:
+    """Writes rows of entries that go to parts, a folder a part; the path."""
     path = shared_dir(rows.sparkSession, name)
-    rows.repartition("part").write.partitionBy("part").parquet(path)
+    _routed(rows, plan.n_parts, plan).select(F.col("bucket").alias("part"), "blob").write.partitionBy("part").parquet(path)
     return path
 
 
-def _of_part(path: str, part: int) -> list[list[np.ndarray]]:
-    """The unpacked blobs that were sent to a part."""
+def _of_part(path: str, part: int, kinds: tuple) -> list[np.ndarray]:
+    """The columns, after the first, of entries that were sent to a part."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(path)
     if store.get_file_info(f"{root}/part={part}").type == fs.FileType.NotFound:
-        return []
+        return [np.zeros(0, k) for k in kinds]
     files = store.get_file_info(fs.FileSelector(f"{root}/part={part}"))
     blobs = (b for f in files if f.path.endswith(".parquet") for b in pq.ParquetFile(store.open_input_file(f.path)).read(["blob"]).column(0).to_pylist())
-    return [unpacked(b) for b in blobs]
+    return Entries.joined(list(blobs), False).columns[1:]
+
 
+class Plan:
+    """Numbers of shards and parts, and what bounds chunks and rows."""
 
-def _keys(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(part, blob): the keys of a part that occur in two documents or more."""
+    def __init__(self, parts: DataFrame, buckets: int, chunk_bytes: int, fan: int, hot: int, batch_bytes: int):
+        self.buckets, self.chunk_bytes, self.fan, self.hot, self.batch_bytes = buckets, chunk_bytes, fan, hot, batch_bytes
+        self.n_parts = (parts.agg(F.max("part")).first()[0] or 0) + 1
+        self.to_bucket, self.to_part = _spans(buckets, fan)[0], _spans(self.n_parts, fan)[0]
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Windows, pa.RecordBatch]]:
+        return _chunks(batches, self.chunk_bytes)
+
+    def for_buckets(self, entries: Entries, part: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
+        return entries.rows(self.buckets, self.to_bucket, part, kind)
+
+    def for_parts(self, entries: Entries, bucket: int, kind: int = 0) -> Iterator[pa.RecordBatch]:
+        return entries.rows(self.n_parts, self.to_part, bucket, kind)
+
+
+def _keys(docs: DataFrame, plan: Plan) -> DataFrame:
+    """To parts: their keys that occur in two documents or more, and whether they are hot."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, w, _ in _chunks(batches, chunk_bytes):
-            key, least, most = _spans(w.key, w.doc_ids[w.doc])
+        for part, w, _ in plan.chunks(batches):
+            key, least, most, times = _groups(w.key, w.doc_ids[w.doc])
             two = least != most
-            keys, docs = np.concatenate([key, key[two]]), np.concatenate([least, most[two]])
-            yield from _send(part, buckets, keys, lambda at, keys=keys, docs=docs: packed(keys[at], docs[at]))
+            keys, docs, times = np.concatenate([key, key[two]]), np.concatenate([least, most[two]]), np.concatenate([times, 0 * times[two]])
+            yield from plan.for_buckets(Entries(keys, docs, np.full(len(keys), part, np.int32), times.astype(np.int32)), part)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts, blobs in _by_bucket(batches):
-            key, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
-            of = np.repeat(np.array(parts), [len(b[0]) for b in blobs])
+        for bucket, blobs in _by_bucket(batches):
+            key, doc, part, times = Entries.joined(blobs[0], False).columns
             order = np.argsort(key)
-            key, doc, of = key[order], doc[order], of[order]
-            firsts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(firsts, len(key)))
+            key, doc, part = key[order], doc[order], part[order]
+            firsts = np.flatnonzero(_firsts(key))
             several = np.minimum.reduceat(doc, firsts) != np.maximum.reduceat(doc, firsts)
+            hot = np.add.reduceat(times[order].astype(np.int64), firsts) > plan.hot
+            size = np.diff(np.append(firsts, len(key)))
             keep = np.repeat(several, size)
-            key, of = key[keep], of[keep]
-            rows = [(int(p), packed(np.unique(key[of == p]))) for p in np.unique(of)]
-            if rows:
-                yield _rows(rows)
+            yield from plan.for_parts(Entries(part[keep], key[keep], np.repeat(hot, size)[keep].astype(np.uint8)), bucket)
 
-    sent = docs.mapInArrow(tell, "bucket long, part long, blob binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, blob binary")
+    return _routed(docs.mapInArrow(tell, ROWS), plan.buckets, plan).mapInArrow(meet, ROWS)
 
 
-def _wanted(path: str, part: int) -> np.ndarray:
-    return np.unique(np.concatenate([b[0] for b in _of_part(path, part)] or [np.zeros(0, np.uint64)]))
+class _Wanted:
+    """The keys that came back to a part."""
 
+    def __init__(self, path: str, part: int):
+        key, hot = _of_part(path, part, (np.uint64, np.uint8))
+        self.keys, self.hot = np.unique(key), np.unique(key[hot > 0])
 
-def _owners(docs: DataFrame, keys_at: str, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(part, blob): for parts the digests they own; for bucket b, as part -1 - b, (digest, part that has it, least document)."""
+    def narrow(self, w: Windows) -> None:
+        """Leaves only strips of these keys, and splits those of hot ones."""
+        w.take(_in(w.key, self.keys))
+        w.split(self.hot)
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, np.ndarray] = {}
-        for part, w, _ in _chunks(batches, chunk_bytes):
-            if part not in wanted:
-                wanted = {part: _wanted(keys_at, part)}
-            w.take(_in(w.key, wanted[part]))
-            digest, doc, _ = _spans(w.digest, w.doc_ids[w.doc])
-            key = _spans(w.digest, w.key)[1]  # a digest has one key
-            yield from _send(part, buckets, key, lambda at, digest=digest, doc=doc: packed(digest[at], doc[at]))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts, blobs in _by_bucket(batches):
-            digest, doc = (np.concatenate(x) for x in zip(*blobs, strict=True))
-            of = np.repeat(np.array(parts), [len(b[0]) for b in blobs])
-            order = np.lexsort((of, doc, digest))
-            digest, doc, of = digest[order], doc[order], of[order]
-            first = _firsts(digest)
-            least = doc[first][np.cumsum(first) - 1]
-            rows = [(int(p), packed(digest[first & (of == p)])) for p in np.unique(of[first])]
-            yield _rows([*rows, (-1 - bucket, packed(digest, of, least))])
+def _each_part(found: Iterator[tuple[int, Windows, pa.RecordBatch]], *tables) -> Iterator[tuple]:
+    """found with what tables (of a part) make of its part, made once for parts in a row."""
+    last, made = None, []
+    for part, *rest in found:
+        if part != last:
+            last, made = part, [t(part) for t in tables]
+        yield (part, *rest, *made)
+
 
-    sent = docs.mapInArrow(tell, "bucket long, part long, blob binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, blob binary")
+def _owners(docs: DataFrame, keys_at: str, plan: Plan) -> DataFrame:
+    """To parts (kind 0): first documents of digests, or that they own one, whose bytes are needed; to buckets (kind 1): digests, parts that have them, first documents."""
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, w, _, wanted in _each_part(plan.chunks(batches), lambda part: _Wanted(keys_at, part)):
+            wanted.narrow(w)
+            digest, doc, _, _ = _groups(w.digest, w.doc_ids[w.doc])
+            key = _groups(w.digest, w.key)[1]  # a digest has one key
+            yield from plan.for_buckets(Entries(key, digest, doc, np.full(len(key), part, np.int32)), part)
 
-def _spans(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys in order, the least value of each, the greatest)."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, blobs in _by_bucket(batches):
+            key, digest, doc, part = Entries.joined(blobs[0], False).columns
+            order = np.lexsort((part, doc, digest, key))
+            key, digest, doc, part = (x[order] for x in (key, digest, doc, part))
+            first = _firsts(digest)
+            place = np.cumsum(first) - 1
+            least = doc[first][place]
+            # keys of one digest only need no index
+            heads = np.flatnonzero(_firsts(key))
+            alone = np.repeat(np.add.reduceat(first.astype(np.int64), heads) == 1, np.diff(np.append(heads, len(key))))
+            owned = ~alone & first
+            told = alone | owned
+            yield from plan.for_parts(Entries(part[told], digest[told], least[told], owned[told].astype(np.uint8)), bucket)
+            held = ~alone
+            if held.any():
+                # goes to its bucket once more, with the strips
+                yield from Entries(key[held], digest[held], part[held], least[held]).rows(plan.buckets, 1, bucket, 1)
+
+    return _routed(docs.mapInArrow(tell, ROWS), plan.buckets, plan).mapInArrow(meet, ROWS)
+
+
+def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the least value of each, the greatest, their number)."""
     order = np.argsort(keys)
     keys, values = keys[order], values[order]
     at = np.flatnonzero(_firsts(keys))
     if not len(at):
-        return keys, values, values
-    return keys[at], np.minimum.reduceat(values, at), np.maximum.reduceat(values, at)
+        return keys, values, values, at
+    return keys[at], np.minimum.reduceat(values, at), np.maximum.reduceat(values, at), np.diff(np.append(at, len(keys)))
 
 
 def _in(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -366,68 +485,80 @@ def _firsts(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
 
 
-def _strips(docs: DataFrame, owners_at: str, buckets: int, chunk_bytes: int) -> DataFrame:
-    """(part, blob): for the strips of a part, by digest, from which place on which document is the first."""
+def _strips(docs: DataFrame, held: DataFrame, keys_at: str, owners_at: str, plan: Plan) -> DataFrame:
+    """To parts: for their strips, by digest, from which place on which document is the first."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, np.ndarray] = {}
-        for part, w, _ in _chunks(batches, chunk_bytes):
-            if part not in wanted:
-                wanted = {part: _wanted(owners_at, part)}
-            w.take(_in(w.digest, wanted[part]))
-            _, one = np.unique(w.digest, return_index=True)
-            digest, first, size, raw = w.digest[one], w.first[one], w.last[one] + LENGTH - w.first[one], w.raw.tobytes()
+        def owned(part: int) -> np.ndarray:
+            digest, _, own = _of_part(owners_at, part, (np.uint64, np.int64, np.uint8))
+            return np.unique(digest[own > 0])
 
-            def blob(at, digest=digest, first=first, size=size, raw=raw):
-                text = b"".join(raw[a : a + n] for a, n in zip(first[at].tolist(), size[at].tolist(), strict=True))
-                return packed(digest[at], size[at].astype(np.int32), np.frombuffer(text, np.uint8))
-
-            yield from _send(part, buckets, w.key[one], blob)
+        for part, w, _, wanted, mine in _each_part(plan.chunks(batches), lambda part: _Wanted(keys_at, part), owned):
+            wanted.narrow(w)
+            w.take(_in(w.digest, mine))
+            _, one = np.unique(w.digest, return_index=True)
+            yield from plan.for_buckets(Entries(w.key[one], w.digest[one], (w.last[one] + LENGTH - w.first[one]).astype(np.int32), text=w.raw.tobytes(), at=w.first[one]), part)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, _, blobs in _by_bucket(batches):
-            digest, size, text = (np.concatenate(x) for x in zip(*blobs, strict=True))
-            starts, raw = np.concatenate([[0], np.cumsum(size.astype(np.int64))]), text.tobytes()
-            held, of, least = (np.concatenate(x) for x in zip(*_of_part(owners_at, -1 - bucket), strict=True))
+        for bucket, blobs in _by_bucket(batches):
+            strips = Entries.joined(blobs[0], True)
+            key, digest, size = strips.columns
+            _, held, part, least = Entries.joined(blobs[1], False).columns
             order = np.argsort(held, kind="stable")
-            held, of, least = held[order], of[order], least[order]
-            digest, one = np.unique(digest, return_index=True)  # two chunks of a part may send one strip
+            held, part, least = held[order], part[order], least[order]
             docs = least[np.searchsorted(held, digest)]
-            by_doc = np.argsort(docs, kind="stable")
-            digest, one, docs = digest[by_doc], one[by_doc], docs[by_doc]
-            index = RunLengthIndex([raw[a:b] for a, b in zip(starts[one].tolist(), starts[one + 1].tolist(), strict=True)])
-            found = index.first_documents(docs)
-            real = index.left >= LENGTH
-            places, found, owner = np.flatnonzero(real), found[real], index.string_of[real]
-            new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
-            places, found, owner = places[new], found[new], owner[new]
-            offset = (places - index.starts[owner]).astype(np.int32)
-            cuts = np.searchsorted(owner, np.arange(len(one) + 1))
-            by_digest = np.argsort(digest)
-            slot = by_digest[np.searchsorted(digest[by_digest], held)]
-            del index
-            rows = []
-            for p in np.unique(of):
-                s = np.unique(slot[of == p])
-                n = cuts[s + 1] - cuts[s]
-                at = np.repeat(cuts[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((int(p), packed(digest[s], n.astype(np.int32), offset[at], found[at])))
-            yield _rows(rows)
-
-    sent = docs.mapInArrow(tell, "bucket long, part long, blob binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "part long, blob binary")
+            # by key and document; two chunks of a part may send one strip
+            order = np.lexsort((digest, docs, key))
+            order = order[_firsts(digest[order])]
+            heads = np.flatnonzero(_firsts(key[order]))
+            total = np.cumsum(size[order].astype(np.int64))
+            begin = 0
+            while begin < len(order):
+                done = total[begin - 1] if begin else 0
+                stops = np.append(heads[heads > begin], len(order))
+                end = int(stops[max(0, int(np.searchsorted(total[stops - 1], done + plan.batch_bytes, side="right")) - 1)])
+                at = order[begin:end]
+                yield from plan.for_parts(_answers(strips, at, digest[at], docs[at], held, part), bucket)
+                begin = end
+
+    both = docs.mapInArrow(tell, ROWS)
+    # held rows are at their buckets already: they join the strips' last hop
+    return _routed(both, plan.buckets, plan, True, held).mapInArrow(meet, ROWS)
+
+
+def _answers(strips: Entries, at: np.ndarray, digest: np.ndarray, docs: np.ndarray, held: np.ndarray, part: np.ndarray) -> Entries:
+    """(part, digest, offset, document) for strips by document: pieces of each strip for all parts that have it (held: their digests in order, part)."""
+    sizes = strips.columns[-1]
+    index = RunLengthIndex([strips.text[a : a + n] for a, n in zip(strips.at[at].tolist(), sizes[at].tolist(), strict=True)])
+    found = index.first_documents(docs)
+    real = index.left >= LENGTH
+    places, found, owner = np.flatnonzero(real), found[real], index.string_of[real]
+    new = np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
+    places, found, owner = places[new], found[new], owner[new]
+    offset = (places - index.starts[owner]).astype(np.int32)
+    del index
+    # each piece once for each part that has its strip
+    lo, hi = np.searchsorted(held, digest, "left"), np.searchsorted(held, digest, "right")
+    n = (hi - lo)[owner]
+    piece = np.repeat(np.arange(len(owner)), n)
+    to = part[np.repeat(lo[owner] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return Entries(to, digest[owner[piece]], offset[piece], found[piece])
 
 
 class _Answers:
     """What came back for a part: by digest, offsets and first documents."""
 
-    def __init__(self, path: str, part: int):
-        blobs = _of_part(path, part)
-        kinds = (np.uint64, np.int32, np.int32, np.int64)
-        digest, n, self.offset, self.doc = (np.concatenate(x) for x in zip(*blobs, strict=True)) if blobs else (np.zeros(0, k) for k in kinds)
-        n = n.astype(np.int64)
-        order = np.argsort(digest)
-        self.digest, self.n, self.first = digest[order], n[order], (np.cumsum(n) - n)[order]
+    def __init__(self, owners_at: str, strips_at: str, part: int):
+        known, least, own = _of_part(owners_at, part, (np.uint64, np.int64, np.uint8))
+        digest, offset, doc = _of_part(strips_at, part, (np.uint64, np.int32, np.int64))
+        known, least = known[own == 0], least[own == 0]
+        digest, offset, doc = np.concatenate([digest, known]), np.concatenate([offset, np.zeros(len(known), np.int32)]), np.concatenate([doc, least])
+        order = np.lexsort((offset, digest))
+        digest, offset, doc = digest[order], offset[order], doc[order]
+        new = np.concatenate([[True], (digest[1:] != digest[:-1]) | (offset[1:] != offset[:-1])]) if len(digest) else np.zeros(0, bool)  # chunks of a part may have one strip
+        digest, self.offset, self.doc = digest[new], offset[new], doc[new]
+        self.first = np.flatnonzero(_firsts(digest))
+        self.digest, self.n = digest[self.first], np.diff(np.append(self.first, len(digest)))
 
 
 def _covered(w: Windows, answers: _Answers) -> np.ndarray:
@@ -449,23 +580,23 @@ def _covered(w: Windows, answers: _Answers) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN, hot: int = HOT, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of docs (doc_id, text): the removed spans [from, to) of each text's bytes, and the bytes left."""
-    buckets = partitions_for(docs, "text", BUCKET_BYTES)
     parts = written(docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")), "repeat-texts")
-    keys_at = _to_parts(_keys(parts, buckets, chunk_bytes), "repeat-keys")
+    plan = Plan(parts, partitions_for(docs, "text", bucket_bytes), chunk_bytes, fan, hot, batch_bytes)
+    keys_at = _to_parts(_keys(parts, plan), plan, "repeat-keys")
     free_shuffles(docs.sparkSession)
-    owners_at = _to_parts(_owners(parts, keys_at, buckets, chunk_bytes), "repeat-owners")
+    owners = written(_owners(parts, keys_at, plan), "repeat-owners")
+    owners_at = _to_parts(owners.where("kind = 0"), plan, "repeat-owned")
     free_shuffles(docs.sparkSession)
-    strips_at = _to_parts(_strips(parts, owners_at, buckets, chunk_bytes), "repeat-strips")
+    strips_at = _to_parts(_strips(parts, owners.where("kind = 1"), keys_at, owners_at, plan), plan, "repeat-strips")
+    discard(owners)
     free_shuffles(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: dict[int, _Answers] = {}
-        for part, w, batch in _chunks(batches, chunk_bytes):
-            if part not in answers:
-                answers = {part: _Answers(strips_at, part)}
-            gone = _covered(w, answers[part])
+        for _, w, batch, wanted, answers in _each_part(plan.chunks(batches), lambda part: _Wanted(keys_at, part), lambda part: _Answers(owners_at, strips_at, part)):
+            wanted.narrow(w)
+            gone = _covered(w, answers)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
             raw, spans, kept = w.raw.tobytes(), [], []
             for a, b in zip(w.starts[:-1].tolist(), w.starts[1:].tolist(), strict=True):
