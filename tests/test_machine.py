@@ -334,3 +334,16 @@ def test_errors_name_a_reason():
         C.Strict(schema, "r").encode({"a": [1, None]})
     with pytest.raises(C.Invalid):
         W.Rows(schema, "r").encode({"a": [1, None]}, C.Options())
+
+
+def test_what_is_kept():
+    strict, everything = C.Options(strict=True), C.Options.all_kept()
+    assert strict.keeping("comments") == C.Options(comments=True)
+    assert everything.keeping("strict") == C.Options(strict=True, lexical=True)
+    assert strict.keeping("lexical") == C.Options(strict=True, lexical=True) and everything.keeping("pis", False) != everything
+    with pytest.raises(C.Invalid):
+        strict.keeping("colours")
+    doc = [SE("r"), EE, SE("r"), EE]
+    for limits in ({}, {"max_productions": 0}, {"max_grammars": 0}):
+        o = C.Options(fragment=True, **limits)
+        assert M.Machine(None, o).encode(doc) == M.Machine(None, C.Options(fragment=True)).encode(doc)

@@ -23,7 +23,7 @@ class Strict:
     """
 
     def __init__(self, schema: T.StructType, root: str):
-        self.schema, self.root = schema, root
+        self.schema, self.root, self.plans = schema, root, {}
 
     @staticmethod
     def can(schema: T.DataType) -> bool:
@@ -70,53 +70,79 @@ class Strict:
                 return out
         return [*out, len(fields)]
 
-    def _write(self, out: BitWriter, strings: Strings, schema: T.StructType, row: dict) -> None:
-        fields, at, again = self._particles(schema), 0, False
+    def _of(self, schema: T.StructType) -> _Plan:
+        if id(schema) not in self.plans:
+            self.plans[id(schema)] = _Plan(schema)
+        return self.plans[id(schema)]
 
-        def step(to: int) -> None:
-            ways = self._next(fields, at, again)
-            if to not in ways:
-                raise Invalid(f"{fields[at].name} is missing")
-            out.nbit(ways.index(to), width(len(ways)))
-
-        for i, f in enumerate(fields):
-            value = row.get(f.name)
+    def _write(self, out: BitWriter, strings: Strings, schema: T.StructType, row: Any) -> None:
+        plan, at, again = self._of(schema), 0, False
+        for i, p in enumerate(plan.particles):
+            value = row.get(p.name)
             if value is None:
                 continue
-            several = many(f)
-            for item in value if several else [value]:
+            for item in value if p.many else (value,):
                 if item is None:
-                    raise Invalid(f"an item of {f.name} is null, and the field isn't nillable")
-                step(i)
-                self._content(out, strings, f, item_type(f), item)
-                at, again = (i, True) if several else (i + 1, False)
-        step(len(fields))
-
-    def _content(self, out: BitWriter, strings: Strings, f: T.StructField, kind: T.DataType, item: Any) -> None:
-        if isinstance(kind, T.StructType):
-            self._write(out, strings, kind, item if isinstance(item, dict) else item.asDict())
-        else:
-            write_value(out, strings, clark(xml_name(f, is_attribute(f))), kind, item, f.metadata)
+                    raise Invalid(f"an item of {p.name} is null, and the field isn't nillable")
+                code, size = plan.code(at, again, i)
+                if size:
+                    out.nbit(code, size)
+                if p.plan:
+                    self._write(out, strings, p.kind, item if isinstance(item, dict) else item.asDict())
+                else:
+                    write_value(out, strings, p.context, p.kind, item, p.meta)
+                at, again = (i, True) if p.many else (i + 1, False)
+        code, size = plan.code(at, again, len(plan.particles))
+        if size:
+            out.nbit(code, size)
 
     def _read(self, source: BitReader, strings: Strings, schema: T.StructType) -> dict:
-        fields, at, again = self._particles(schema), 0, False
-        row: dict = {f.name: [] if many(f) else None for f in schema}
+        plan, at, again = self._of(schema), 0, False
+        row: dict = plan.empty()
         while True:
-            ways = self._next(fields, at, again)
-            k = source.nbit(width(len(ways)))
+            ways, size = plan.ways(at, again)
+            k = source.nbit(size)
             if k >= len(ways):
                 raise Invalid(f"no event {k} of {len(ways)}")
             i = ways[k]
-            if i == len(fields):
+            if i == len(plan.particles):
                 return row
-            f = fields[i]
-            several, kind = many(f), item_type(f)
-            if isinstance(kind, T.StructType):
-                value = self._read(source, strings, kind)
-            else:
-                value = read_value(source, strings, clark(xml_name(f, is_attribute(f))), kind, f.metadata)
-            if several:
-                row[f.name].append(value)
+            p = plan.particles[i]
+            value = self._read(source, strings, p.kind) if p.plan else read_value(source, strings, p.context, p.kind, p.meta)
+            if p.many:
+                row[p.name].append(value)
             else:
-                row[f.name] = value
-            at, again = (i, True) if several else (i + 1, False)
+                row[p.name] = value
+            at, again = (i, True) if p.many else (i + 1, False)
+
+
+class _Particle:
+    __slots__ = ("context", "kind", "many", "meta", "name", "plan")
+
+    def __init__(self, f: T.StructField):
+        self.name, self.many, self.kind, self.meta = f.name, many(f), item_type(f), f.metadata
+        self.context, self.plan = clark(xml_name(f, is_attribute(f))), isinstance(self.kind, T.StructType)
+
+
+class _Plan:
+    """What a struct's documents need over and over, made once."""
+
+    def __init__(self, schema: T.StructType):
+        self.schema, self.fields = schema, Strict._particles(schema)
+        self.particles, self._ways = [_Particle(f) for f in self.fields], {}
+        self._arrays = [(f.name, many(f)) for f in schema]
+
+    def empty(self) -> dict:
+        return {name: [] if several else None for name, several in self._arrays}
+
+    def ways(self, at: int, again: bool) -> tuple[list[int], int]:
+        if (at, again) not in self._ways:
+            ways = Strict._next(self.fields, at, again)
+            self._ways[at, again] = ways, width(len(ways))
+        return self._ways[at, again]
+
+    def code(self, at: int, again: bool, to: int) -> tuple[int, int]:
+        ways, size = self.ways(at, again)
+        if to not in ways:
+            raise Invalid(f"{self.fields[at].name} is missing")
+        return ways.index(to), size

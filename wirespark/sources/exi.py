@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from wirespark.sources.codec import COOKIE, XML_NS, XSI_NS, Event, Invalid, Machine, Options, Schema, read_header
-from wirespark.sources.machine import NIL, TYPE, from_clark
+from wirespark.sources.machine import NIL, TYPE, Contained, from_clark
 from wirespark.sources.rows import ByRoot, Rows, codec
 
 EVENTS = "array<struct<event:string,ns:string,local:string,value:string,prefix:string>>"
@@ -150,22 +150,11 @@ def contained(df: DataFrame, options: Options, key: str) -> DataFrame:
     """(key, part, at, size): where the self-contained elements outside others lie in documents (content), in bytes, as a reader passes over them."""
 
     def each(x: bytes) -> list[dict]:
-        found: list[tuple[int, int]] = []
-
-        class Index(Machine):
-            def _read_contained(self, source, skip):
-                source.align()
-                size = source.unsigned()
-                found.append((source.at // 8, size))
-                source.skip(size)
-                self._closed()
-                return [("SC", None, None), ("EE", None, None)]
-
         source, o = read_header(bytes(x), options)
-        machine = Index(None, o)
+        machine = Contained(None, o)
         machine.begin()
         machine.read(source, True)
-        return [{"at": a, "size": n} for a, n in found]
+        return [{"at": a, "size": n} for a, n in machine.found]
 
     rows = _mapped(df.select(key, "content"), "content", "parts", "array<struct<at:bigint,size:bigint>>", each)
     return rows.select(key, F.posexplode("parts").alias("part", "p")).select(key, F.col("part").cast("long").alias("part"), "p.at", "p.size")

@@ -127,11 +127,14 @@ class Names:
         return known[i - 1]
 
 
+END = Production("EE")
+
+
 class Learned:
     """The learned productions of an element without a declared type, the newest with code 0."""
 
     def __init__(self, may: bool):
-        self.may, self.start, self.content = may, [], [Production("EE")]
+        self.may, self.start, self.content = may, [], [END]
 
     def of(self, started: bool) -> list[Production]:
         return self.start if started else self.content
@@ -147,7 +150,7 @@ class Frame:
         self.state: Any = kind.FIRST if kind else True
 
     def ways(self) -> list[Production]:
-        return self.type.states[self.state] if self.type else self.learned.of(self.state)[::-1]
+        return self.type.states[self.state] if self.type else self.learned.of(self.state)
 
     def grammar(self) -> str:
         return self.type.phase(self.state) if self.type else "built-in start" if self.state else "built-in content"
@@ -165,7 +168,7 @@ class Frame:
 class Machine:
     def __init__(self, schema: Schema | None = None, o: Options | None = None):
         self.schema, self.o = schema, o or Options()
-        self.third = third_level(self.o)
+        self.third, self.second = third_level(self.o), {}
 
     def begin(self) -> None:
         self.names, self.strings, self.elements, self.learned = Names(self.schema), self.o.strings(), {}, 0
@@ -180,15 +183,16 @@ class Machine:
         if kind:
             return Frame(name, self.schema.types[kind], None)
         if name not in self.elements:
-            self.elements[name] = Learned(not 0 <= self.o.max_grammars <= len(self.elements))
+            self.elements[name] = Learned(not (self.schema and 0 <= self.o.max_grammars <= len(self.elements)))
         return Frame(name, None, self.elements[name])
 
     def _learn(self, f: Frame, p: Production) -> None:
-        if f.type or not f.learned.may or (0 <= self.o.max_productions <= self.learned):
+        # without a schema there are no limits
+        if f.type or not f.learned.may or (self.schema and 0 <= self.o.max_productions <= self.learned):
             return
         at = f.learned.of(f.state)
         if p not in at:
-            at.append(p)
+            at.insert(0, p)
             self.learned += 1
 
     def _outside(self) -> tuple[list[Production], list[str]]:
@@ -203,7 +207,10 @@ class Machine:
 
     def _second(self, f: Frame, ways: list[Production]) -> list[str]:
         t = f.type
-        return second_level(f.grammar(), any(p.event == "EE" for p in ways), self.o, bool(t and t.castable), bool(t and t.nillable))
+        key = f.grammar(), any(p.event == "EE" for p in ways), bool(t and t.castable), bool(t and t.nillable)
+        if key not in self.second:
+            self.second[key] = second_level(key[0], key[1], self.o, *key[2:])
+        return self.second[key]
 
     def _type_of(self, name: Name) -> ElementType | None:
         kind = self.schema.named.get(name) if self.schema else None
@@ -267,11 +274,16 @@ class Machine:
 
     def _find(self, ways: list[Production], event: str, name: Name) -> int | None:
         """The production for an event's name: by name, by namespace, any."""
-        for want in ((event, name[:2]), (f"{event}-NS", (name[0], "")), (f"{event}-ANY", None)):
-            for k, p in enumerate(ways):
-                if (p.event, p.name) == want:
+        found, own, best = None, name[:2], 3
+        for k, p in enumerate(ways):
+            if p.event == event:
+                if p.name == own:
                     return k
-        return None
+            elif best > 1 and p.event == f"{event}-NS" and p.name[0] == own[0]:
+                found, best = k, 1
+            elif best > 2 and p.event == f"{event}-ANY":
+                found, best = k, 2
+        return found
 
     def _write_name(self, out: BitWriter, p: Production | None, name: Name) -> None:
         """What a production leaves open of a name."""
@@ -503,14 +515,14 @@ class Machine:
         data = part.done()
         out.align()
         out.unsigned(len(data))
-        for b in data:
-            out.put(b, 8)
+        out.put(int.from_bytes(data, "big"), 8 * len(data))
         self._closed()
         return j
 
     def _part(self) -> Machine:
         """The same grammars with tables of their own, for a fragment of one element."""
         inner = Machine(self.schema, self.o)
+        inner.second = self.second
         inner.begin()
         return inner
 
@@ -710,6 +722,22 @@ def value_text(kind: T.DataType, meta: dict, value: Any) -> str:
     return value if isinstance(value, str) else text_of(kind, value)
 
 
+class Contained(Machine):
+    """Passes over self-contained elements and notes where their bytes lie: (place, size) in `found`."""
+
+    def begin(self) -> None:
+        super().begin()
+        self.found: list[tuple[int, int]] = []
+
+    def _read_contained(self, source: BitReader, skip: bool) -> list[Event]:
+        source.align()
+        size = source.unsigned()
+        self.found.append((source.at // 8, size))
+        source.skip(size)
+        self._closed()
+        return [("SC", None, None), ("EE", None, None)]
+
+
 class SchemaLess(Machine):
     """Documents without a schema: every value a string, grammars learned as the document goes."""
 

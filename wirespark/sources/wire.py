@@ -7,7 +7,7 @@ import binascii
 import datetime as dt
 import decimal
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import types as T
@@ -575,3 +575,23 @@ class Options:
 
     def strings(self) -> Strings:
         return Strings(self.capacity, self.max_length, self.local, self.shared)
+
+    @classmethod
+    def all_kept(cls) -> Options:
+        """Everything that a document can keep, but for self-contained elements."""
+        return cls(**dict.fromkeys(("comments", "pis", "dtd", "prefixes", "lexical"), True))
+
+    def keeping(self, what: str, on: bool = True) -> Options:
+        """These options with one thing kept or not. strict keeps nothing but lexical values; keeping anything else ends strict."""
+        if what not in KEPT:
+            raise Invalid(f"unknown option {what}")
+        change: dict[str, bool] = {what: on}
+        if on and what == "strict":
+            change |= dict.fromkeys(KEPT - {"strict", "lexical"}, False)
+        elif on and what != "lexical":
+            change["strict"] = False
+        return replace(self, **change)
+
+
+#: What keeping() knows.
+KEPT = frozenset({"strict", "comments", "pis", "dtd", "prefixes", "lexical", "self_contained"})
