@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from wirespark.llm.common import slices, texts_of
 from wirespark.llm.tokens import WordEncoder, default_path
 
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

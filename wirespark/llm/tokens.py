@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wirespark.llm.common import coded, split_words
+from wirespark.llm.common import coded, slices, split_words, texts_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _COMPOSED = re.compile("[À-ÖØ-öø-įı-ɏ]")
@@ -24,7 +24,8 @@ LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if _COMPOSED.match(c) an
 SIMPLE = f"^[!-~{LATIN}]+$"
 #: Fixed value: the tokenizer's split pattern, on lower-case characters of SIMPLE; a line feed ends a word.
 PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\sa-z0-9{LATIN}]+|\n")
-CACHE_PARTS = 600_000
+CACHE_PARTS = 250_000
+ENCODE_BYTES = 2 << 20
 #: Stands for the end of a word among 16-bit ids.
 MARK = 0xFFFF
 
@@ -90,8 +91,16 @@ class WordEncoder:
         firsts[order] = np.concatenate([[0], np.cumsum(sizes[order])[:-1]]) if len(words) else 0
         return bank[bank != MARK], firsts, sizes
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with end_id after each text, and where each text starts (one longer)."""
+    def encode(self, texts: pa.Array, end_id: int, most: int = ENCODE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with end_id after each text, and where each text starts (one longer); about `most` bytes are split into parts at a time."""
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        done = [self._encode(texts_of(part.column(0)), end_id) for part in slices(iter([batch]), "text", most)]
+        if not done:
+            return np.zeros(0, "<u2"), np.zeros(1, np.int64)
+        ends = np.cumsum([0, *(at[-1] for _, at in done)])
+        return np.concatenate([ids for ids, _ in done]), np.concatenate([*(at[:-1] + n for (_, at), n in zip(done, ends[:-1], strict=True)), ends[-1:]])
+
+    def _encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         words, at = split_words(texts)
         codes, distinct = coded(words)
         bank, firsts, sizes = self.of_words(distinct)
