@@ -123,8 +123,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int
 
 def _named_in(table: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of table whose nodes are in pairs (written): the others needn't be shuffled."""
-    n = pairs.count()
-    return table.join(lookup(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n), "node", "left_semi") if 2 * n <= BROADCAST_ROWS else table
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    n = ids.count()
+    return table.join(lookup(ids, n), "node", "left_semi") if n <= BROADCAST_ROWS else table
 
 
 def _rarest(own: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
