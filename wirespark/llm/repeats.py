@@ -46,17 +46,20 @@ STEP, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes."""
+    """Arrays as compressed bytes; the first bytes of all numbers come first, then the second ones, so that those that vary little stand together."""
     head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    body = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(body), 3)
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
     at, out = 4 + int.from_bytes(raw[:4], "little"), []
     for kind, n in (x.split(",") for x in raw[4:at].decode().split(";")):
-        out.append(np.frombuffer(raw, kind, int(n), at))
-        at += out[-1].nbytes
+        size = np.dtype(kind).itemsize
+        held = np.frombuffer(raw, np.uint8, size * int(n), at).reshape(size, int(n))
+        out.append(np.ascontiguousarray(held.T).view(kind).reshape(-1))
+        at += size * int(n)
     return out
 
 
