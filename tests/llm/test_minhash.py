@@ -107,3 +107,48 @@ def test_filter_tail_is_below_that_of_the_lists():
     tail = lambda p, t: sum(math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(t))
     for p in (0.8, 0.85):
         assert tail(p, minhash.least_overlap(p, 32)) <= minhash.FILTER_TAIL < tail(p, int(32 * minhash.LEAST)) / 100
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """However many rows stay or go: with nothing small enough for a broadcast, only rows that go, or are repeated, meet the table that says so."""
+    from wirespark.llm import common
+
+    rng = random.Random(2)
+    texts = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(300)) for _ in range(300)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t + " tail") for i, t in enumerate(texts[:10])]
+    docs += [(0, texts[0])] * 3 + [(None, texts[1]), (None, "of no id"), (None, "of no id")] + [(2000, None), (2000, None), (2001, " "), (2001, " ")]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    broadcasts = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = minhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"))
+        before = shuffled_bytes(spark)
+        got = left.collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    expected = [(i, t) for i, t in enumerate(texts)] + [(None, "of no id"), (2000, None), (2000, None), (2001, " "), (2001, " ")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+    assert moved < sum(map(len, texts)) / 5
+
+
+def test_filter_keeps_every_hash(spark, monkeypatch):
+    from wirespark.llm import common
+
+    rng = random.Random(3)
+    edges = [x for k in range(64) for x in ((1 << k) - (1 << 63), (1 << k) - 1)] + [-1, 0, -(1 << 63), (1 << 63) - 1]
+    own, others = {*edges, *(rng.getrandbits(64) - (1 << 63) for _ in range(2000))}, {rng.getrandbits(64) - (1 << 63) for _ in range(20_000)}
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "h long")
+    for size in (common.FILTER_ROWS, 2):  # sparse, and so full that most others pass
+        monkeypatch.setattr(common, "FILTER_ROWS", size)
+        some, sure = ([r["h"] for r in rows(x)] for x in common.filtered(frame(own | others), frame(own), "h"))
+        assert own <= set(some) and sorted(some + sure) == sorted(own | others)
+        assert size == 2 or len(set(some) - own) < 50

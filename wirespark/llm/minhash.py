@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirespark.llm.common import BROADCAST_ROWS, coded, discard, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
+from wirespark.llm.common import BROADCAST_ROWS, coded, discard, filtered, lookup, lowered, mix64, row_hash, slices, split_words, texts_of, word_hashes, written
 from wirespark.llm.links import BLOCK, bitmap, list_components
 
 CHUNK_BYTES = 4 << 20
@@ -180,14 +180,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, k: int = SKE
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component: that of the least id, then hash of id and text; of rows equal in both, one. Rows without words all stay."""
-    found = written(near_duplicates(docs, n, percent), "components")
-    one = found.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row"))
-    times = found.where("label is not null").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
-    keep = written(one.join(times, "_row"), "keepers")
-    blank = found.where("label is null").select(F.col("row").alias("_row")).distinct().withColumn("_times", F.lit(1).cast("long"))
-    keep = written(keep.unionByName(blank), "keepers")
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), row_hash("doc_id", "text").alias("_row")).join(lookup(keep, keep.count()), "_row")
-    if keep.where("_times > 1").limit(1).count():
-        whole = whole.where("_times = 1").unionByName(whole.where("_times > 1").dropDuplicates(["_row"]))
-    return whole.select("_doc.*")
+    """docs with one row of each component: that of the least id, then hash of id and text; of rows equal in both, one. Rows without words all stay.
+
+    Most rows stay, so those that may not are looked up: no text is shuffled but theirs, and those that a filter of their hashes takes for theirs.
+    """
+    found = written(near_duplicates(docs, n, percent), "components").where("label is not null")
+    one = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")).select(F.col("k.row").alias("_row"), F.lit(True).alias("_stays"))
+    times = found.groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_times"))
+    # rows that go, and rows of which one stays; all others stay
+    asked = written(times.join(one, "_row", "left").where("_stays IS NULL OR _times > 1").select("_row", F.col("_stays").isNotNull().alias("_stays")), "open-rows")
+    copies = written(asked.where("_stays").select("_row"), "copies")
+    n_asked, n_copies = asked.count(), copies.count()
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), row_hash("doc_id", "text").alias("_row"))
+    if n_asked <= BROADCAST_ROWS:
+        left = whole.join(lookup(asked, n_asked), "_row", "left_anti")
+    else:
+        whole, sure = filtered(whole, asked, "_row")
+        left = sure.unionByName(whole.join(asked, "_row", "left_anti"))
+    if n_copies:
+        left = left.unionByName(whole.join(lookup(copies, n_copies), "_row", "left_semi").dropDuplicates(["_row"]))
+    return left.select("_doc.*")
